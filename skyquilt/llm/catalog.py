@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyquilt.llm import quality
+from skyquilt.llm import chat, mixing, quality, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_mixing": mixing.op5_mixing,
+    "op8_chat_formatting": chat.op8_chat_formatting,
+    "op10_url_filters": urls.op10_url_filters,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
+    "op5_mixing": mixing.ORACLE,
+    "op8_chat_formatting": chat.ORACLE,
+    "op10_url_filters": urls.ORACLE,
 }

@@ -156,14 +156,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coverage_sql(n: int) -> str:
+    after = ", ".join(f"lead(w, {k}) OVER o" for k in range(1, n))
     return f"""c{n} AS (
   SELECT rid, count(*) AS n_in, sum(length(w)) AS chars FROM (
-    SELECT DISTINCT g.rid, p.pos, g.words[p.pos] AS w
-    FROM (SELECT rid, words, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i:i + {n - 1}], ' ')) AS times
-          FROM (SELECT rid, words, unnest(range(1, len(words) - {n} + 2)) AS i FROM d)) g,
-         LATERAL (SELECT unnest(range(g.i, g.i + {n})) AS pos) p
-    WHERE g.times > 1)
-  GROUP BY rid)"""
+    SELECT rid, pos, w, max(CASE WHEN times > 1 THEN pos END) OVER (PARTITION BY rid ORDER BY pos) AS begun FROM (
+      SELECT rid, pos, w, CASE WHEN g IS NOT NULL THEN count(*) OVER (PARTITION BY rid, g) END AS times FROM (
+        SELECT rid, pos, w, CASE WHEN lead(w, {n - 1}) OVER o IS NOT NULL THEN concat_ws(' ', w, {after}) END AS g
+        FROM tok WINDOW o AS (PARTITION BY rid ORDER BY pos))))
+  WHERE pos < begun + {n} GROUP BY rid)"""
 
 
 def oracle(rules: QualityRules = QualityRules()) -> str:
@@ -173,6 +173,7 @@ def oracle(rules: QualityRules = QualityRules()) -> str:
     return f"""WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+tok AS (SELECT rid, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS pos FROM d),
 l AS (
   SELECT rid, sum(again) AS n_dup_lines, sum(again * chars) AS dup_line_chars FROM (
     SELECT rid, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, (row_number() OVER (PARTITION BY rid, line) > 1)::int AS again
