@@ -55,10 +55,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     capped = F.coalesce(F.sum(cap).over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_weight = F.sum("weight").over(ranked.rowsBetween(0, Window.unboundedFollowing))
     level = src.withColumn("__each", (F.sum("source_size").over(alone) * F.lit(share) - capped) / open_weight)
-    # the first source, by size for its weight, whose equal share is within its cap fixes the level
-    fits = F.min(F.when(F.col("__each") <= cap / F.col("weight"), F.col("__each"))).over(alone)
+    # with the sources before it at their caps, each source gives a level for the rest; the highest is
+    # the one at which those before are over their caps and the others are not
+    fits = F.max("__each").over(alone)
     level = level.withColumn("__level", fits)
-    return level.select("source", "source_size", "place", F.least(cap.cast("double"), F.coalesce(F.col("__level") * F.col("weight"), cap.cast("double"))).alias("target"))
+    return level.select("source", "source_size", "place", F.least(cap.cast("double"), F.col("__level") * F.col("weight")).alias("target"))
 
 
 def quotas(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
@@ -100,6 +101,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return rows.select("doc_id", "size", "source_size", "target", sum(passes[1:], passes[0]).alias("taken"))
 
 
+def mixed(docs: DataFrame, doc: str = "doc_id", **options) -> DataFrame:
+    """The documents of the mix, with all their columns: each as often as the words taken of it
+    make whole copies, to the nearest.  Rows of one id share what is taken of them."""
+    took = mix(docs, doc=doc, **options).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    took = took.select(F.col("doc_id").alias("__id"), F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("__copies")).where("__copies > 0")
+    rows = docs.join(took, docs[doc].eqNullSafe(took["__id"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -114,7 +124,7 @@ e AS (
   SELECT *, (sum(source_size) OVER () * {SHARE}::double - coalesce(sum(cap) OVER (ORDER BY cap::double / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY cap::double / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS each FROM w),
 t AS (
-  SELECT source, place, source_size, least(cap::double, coalesce(min(CASE WHEN each <= cap::double / weight THEN each END) OVER () * weight, cap::double)) AS target FROM e),
+  SELECT source, place, source_size, least(cap::double, max(each) OVER () * weight) AS target FROM e),
 q AS (
   SELECT place, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, place, k) AS award
   FROM (SELECT *, unnest(range(1, (target / {BLOCK})::bigint + 3)) AS k FROM t WHERE target > 0)),

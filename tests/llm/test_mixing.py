@@ -55,6 +55,30 @@ def test_targets_and_quotas(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_levels(spark):
+    rng = random.Random(11)
+    for trial in range(4):
+        names = [f"src{i}" for i in range(20)] + [None]
+        rows = [(i, "w " * (rng.randint(50, 60) if trial < 2 else rng.choice([1, 40, 900])), rng.choice(names + ["src0"] * 10 * (trial % 2))) for i in range(300)]
+        src, target, _ = brute(rows)
+        got = {r.source: r for r in mixing.targets(mixing.sized(docs_of(spark, rows))).collect()}
+        assert set(got) == set(src)
+        for s in src:
+            assert got[s].source_size == src[s] and abs(got[s].target - target[s]) < 1e-6 * max(1, target[s])
+        assert abs(sum(r.target for r in got.values()) - 1.5 * sum(src.values())) < 1e-3
+
+
+def test_mixed_documents(spark):
+    rows = [(i, "w " * 200, "a" if i % 3 else "b") for i in range(90)]
+    got = mixing.mixed(docs_of(spark, rows))
+    assert got.columns == ["doc_id", "text", "source", "size", "start", "words", "target"]
+    took = defaultdict(int)
+    for r in got.collect():
+        took[r.doc_id] += 1
+    for r in mixing.mix(docs_of(spark, rows)).collect():
+        assert took[r.doc_id] == int(r.taken / r["size"] + 0.5)
+
+
 def test_shard_quotas_are_sainte_lague_awards(spark):
     votes = [("a", 1, 5300.0), ("b", 2, 2400.0), ("c", 3, 900.0), ("d", 4, 30.0)]
     goal = spark.createDataFrame([(s, p, v) for s, p, v in votes], "source string, place long, target double")
