@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyquilt.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash, substrings, urls
+from skyquilt.llm import chat, classifier, decontaminate, mixing, quality, secrets, sharding, simhash, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_quality_classifier": classifier.op2_quality_classifier,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_mixing": mixing.op5_mixing,
