@@ -2,9 +2,10 @@
 
 Alternating large-star and small-star steps: every node points its neighbours
 to the smallest node it knows, until all edges are stars.  Each step is an
-aggregation, which combines before the shuffle, and a join with one row a node
-on one side, whose skewed partitions Spark splits; hubs of any degree are
-therefore no single task's work.  Rounds are cut by checkpoints.
+aggregation, which combines before the shuffle, and a join with its stored
+result, one row a node.  As both sides of that join are dealt anew, Spark
+splits partitions that a hub makes large; hubs of any degree are therefore no
+single task's work.  Steps are cut by checkpoints.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from skyquilt.session import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Expects u > v in every edge, as the large star leaves them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,5 +42,5 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(cut(_large_star(edges))))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
