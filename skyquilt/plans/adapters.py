@@ -28,18 +28,19 @@ def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STARS = f"""SELECT o_orderkey AS id, {TWO_PI} * (o_orderkey * {PHI} - floor(o_orderkey * {PHI})) AS ra,
-  asin(2 * (o_orderkey * {RHO} - floor(o_orderkey * {RHO})) - 1) AS dec, 20 - 2.5 * log10(o_totalprice) AS mag,
+STARS = f"""SELECT o_orderkey AS id, {TWO_PI}::double * (o_orderkey * {PHI}::double - floor(o_orderkey * {PHI}::double)) AS ra,
+  asin(2 * (o_orderkey * {RHO}::double - floor(o_orderkey * {RHO}::double)) - 1) AS dec, 20 - 2.5 * log10(o_totalprice) AS mag,
   (o_custkey % 2001 - 1000) * 0.25::double AS pm_ra, (o_custkey * 7 % 2001 - 1000) * 0.25::double AS pm_dec FROM orders"""
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_id, star, x, y, flux, fwhm, concentration, snr, saturated`` from lineitem."""
-    li = table(spark, sf_dir, "lineitem")
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image_id"), key.alias("star")).agg(*(F.max(c).alias(c) for c in ("l_extendedprice", "l_discount", "l_quantity", "l_tax")))
+    key = F.col("star")
     return li.select(
-        F.col("l_suppkey").alias("image_id"),
-        key.alias("star"),
+        "image_id",
+        "star",
         (1600 * frac(key * PHI)).alias("x"),
         (1200 * frac(key * RHO)).alias("y"),
         F.col("l_extendedprice").alias("flux"),
@@ -50,10 +51,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DETECTIONS = f"""SELECT l_suppkey AS image_id, k AS star, 1600 * (k * {PHI} - floor(k * {PHI})) AS x, 1200 * (k * {RHO} - floor(k * {RHO})) AS y,
-  l_extendedprice AS flux, 1.5 + 6 * (k * {SIGMA} - floor(k * {SIGMA})) AS fwhm,
-  CASE WHEN l_discount >= 0.05::double THEN 0.9::double + l_discount ELSE 0.5::double + l_discount * 8 END AS concentration, l_quantity AS snr, l_tax >= 0.08::double AS saturated
-  FROM (SELECT *, l_orderkey * 8 + l_linenumber AS k FROM lineitem)"""
+DETECTIONS = f"""SELECT image_id, k AS star, 1600 * (k * {PHI}::double - floor(k * {PHI}::double)) AS x, 1200 * (k * {RHO}::double - floor(k * {RHO}::double)) AS y,
+  flux, 1.5::double + 6 * (k * {SIGMA}::double - floor(k * {SIGMA}::double)) AS fwhm,
+  CASE WHEN disc >= 0.05::double THEN 0.9::double + disc ELSE 0.5::double + disc * 8 END AS concentration, snr, tax >= 0.08::double AS saturated
+  FROM (SELECT l_suppkey AS image_id, l_orderkey * 8 + l_linenumber AS k, max(l_extendedprice) AS flux, max(l_discount) AS disc, max(l_quantity) AS snr, max(l_tax) AS tax FROM lineitem GROUP BY ALL)"""
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,18 +66,18 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REFERENCES = f"""SELECT o_custkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS image_id, o_orderkey AS ref,
-  1600 * (o_orderkey * {SIGMA} - floor(o_orderkey * {SIGMA})) AS rx, 1200 * (o_orderkey * {PHI} - floor(o_orderkey * {PHI})) AS ry FROM orders"""
+  1600 * (o_orderkey * {SIGMA}::double - floor(o_orderkey * {SIGMA}::double)) AS rx, 1200 * (o_orderkey * {PHI}::double - floor(o_orderkey * {PHI}::double)) AS ry FROM orders"""
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``image_id, x, y, v``: 64 x 48 pixels an image, from lineitem; the last row of a pixel counts."""
+    """``image_id, x, y, v``: 64 x 48 pixels an image, from lineitem; the brightest row of a pixel counts."""
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("image_id"), F.floor(64 * frac(key * PHI)).cast("int").alias("x"), F.floor(48 * frac(key * RHO)).cast("int").alias("y"), key.alias("k"), F.col("l_extendedprice").alias("p"))
-    return li.groupBy("image_id", "x", "y").agg(F.max_by("p", "k").alias("v"))
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("image_id"), F.floor(64 * frac(key * PHI)).cast("int").alias("x"), F.floor(48 * frac(key * RHO)).cast("int").alias("y"), F.col("l_extendedprice").alias("p"))
+    return li.groupBy("image_id", "x", "y").agg(F.max("p").alias("v"))
 
 
-PIXELS = f"""SELECT image_id, x, y, max_by(p, k) AS v FROM (
-  SELECT l_suppkey % 4 AS image_id, floor(64 * (k * {PHI} - floor(k * {PHI})))::int AS x, floor(48 * (k * {RHO} - floor(k * {RHO})))::int AS y, k, l_extendedprice AS p
+PIXELS = f"""SELECT image_id, x, y, max(p) AS v FROM (
+  SELECT l_suppkey % 4 AS image_id, floor(64 * (k * {PHI}::double - floor(k * {PHI}::double)))::int AS x, floor(48 * (k * {RHO}::double - floor(k * {RHO}::double)))::int AS y, l_extendedprice AS p
   FROM (SELECT *, l_orderkey * 8 + l_linenumber AS k FROM lineitem)) GROUP BY image_id, x, y"""
 
 
@@ -109,5 +110,5 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBJECTS = f"""SELECT p_partkey AS id, 'NGC ' || p_partkey AS designation, p_size % 7 AS catalog,
   CASE WHEN p_partkey % 11 = 0 THEN (p_partkey // 11)::int ELSE 0 END AS messier, CASE WHEN p_partkey % 5 = 0 THEN p_name END AS common_name,
-  {TWO_PI} * (p_partkey * {PHI} - floor(p_partkey * {PHI})) AS ra, asin(2 * (p_partkey * {RHO} - floor(p_partkey * {RHO})) - 1) AS dec,
+  {TWO_PI}::double * (p_partkey * {PHI}::double - floor(p_partkey * {PHI}::double)) AS ra, asin(2 * (p_partkey * {RHO}::double - floor(p_partkey * {RHO}::double)) - 1) AS dec,
   CASE WHEN p_partkey % 13 <> 0 THEN p_size * 2.0::double END AS major, CASE WHEN p_partkey % 17 <> 0 THEN p_retailprice / 100 END AS mag FROM part"""
