@@ -8,11 +8,12 @@ Fields: ``crpix_x, crpix_y`` (0-based), ``crval_ra, crval_dec`` (degrees),
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skyquilt.functions.sphere import TangentPlane, dec_of, ra_of, to_vector
+from skyquilt.functions.sphere import ra_of
 
 WCS_TYPE = "struct<crpix_x:double,crpix_y:double,crval_ra:double,crval_dec:double,cd11:double,cd12:double,cd21:double,cd22:double,sip_order:int,a:array<double>,b:array<double>,ap:array<double>,bp:array<double>>"
 
@@ -26,6 +27,15 @@ def linear(crpix_x: Column, crpix_y: Column, crval_ra: Column, crval_dec: Column
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pair(u: Column, v: Column) -> Column:
+    return F.struct(u.alias("u"), v.alias("v"))
+
+
 def polynomial(coefficients: Column, order: Column, u: Column, v: Column) -> Column:
     """Sum of c[i * (order + 1) + j] u**i v**j; null coefficients give 0."""
     n = order + 1
@@ -33,28 +43,53 @@ def polynomial(coefficients: Column, order: Column, u: Column, v: Column) -> Col
     return F.coalesce(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t), F.lit(0.0))
 
 
-def pixel_to_sky(w: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    """Right ascension and declination in degrees of a pixel."""
-    u, v = x - w["crpix_x"], y - w["crpix_y"]
-    u, v = u + polynomial(w["a"], w["sip_order"], u, v), v + polynomial(w["b"], w["sip_order"], u, v)
-    xi, eta = F.radians(w["cd11"] * u + w["cd12"] * v), F.radians(w["cd21"] * u + w["cd22"] * v)
-    p = TangentPlane.at(F.radians(w["crval_ra"]), F.radians(w["crval_dec"])).unproject(xi, eta)
-    return F.degrees(ra_of(p[0], p[1])), F.degrees(dec_of(p[2]))
+def pixel_to_sky(w: Column, x: Column, y: Column) -> Column:
+    """Struct of ``ra`` and ``dec`` in degrees of a pixel."""
+    ra0, dec0 = F.radians(w["crval_ra"]), F.radians(w["crval_dec"])
+
+    def distorted(d: Column) -> Column:
+        u, v = d["u"], d["v"]
+        return _pair(u + polynomial(w["a"], w["sip_order"], u, v), v + polynomial(w["b"], w["sip_order"], u, v))
+
+    def plane(d: Column) -> Column:
+        return _pair(F.radians(w["cd11"] * d["u"] + w["cd12"] * d["v"]), F.radians(w["cd21"] * d["u"] + w["cd22"] * d["v"]))
+
+    def vector(p: Column) -> Column:
+        xi, eta = p["u"], p["v"]
+        return F.struct(
+            (F.cos(dec0) * F.cos(ra0) - xi * F.sin(ra0) - eta * F.sin(dec0) * F.cos(ra0)).alias("x"),
+            (F.cos(dec0) * F.sin(ra0) + xi * F.cos(ra0) - eta * F.sin(dec0) * F.sin(ra0)).alias("y"),
+            (F.sin(dec0) + eta * F.cos(dec0)).alias("z"),
+        )
+
+    def sky(p: Column) -> Column:
+        return F.struct(F.degrees(ra_of(p["x"], p["y"])).alias("ra"), F.degrees(F.atan2(p["z"], F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]))).alias("dec"))
+
+    return let(let(let(let(_pair(x - w["crpix_x"], y - w["crpix_y"]), distorted), plane), vector), sky)
+
+
+def sky_to_pixel(w: Column, ra: Column, dec: Column, rounds: int = 6) -> Column:
+    """Struct of ``x`` and ``y`` of a position in degrees; null behind the tangent plane.  The SIP
+    terms are inverted by fixed-point iterations from the inverse polynomial's start, if there is one."""
+    d0, r1, d1 = F.radians(w["crval_dec"]), F.radians(ra - w["crval_ra"]), F.radians(dec)
+    dot = F.sin(d0) * F.sin(d1) + F.cos(d0) * F.cos(d1) * F.cos(r1)
+
+    def plane(c: Column) -> Column:
+        return _pair(F.degrees(F.cos(d1) * F.sin(r1) / c), F.degrees((F.cos(d0) * F.sin(d1) - F.sin(d0) * F.cos(d1) * F.cos(r1)) / c))
+
+    def linear_part(p: Column) -> Column:
+        det = determinant(w)
+        return _pair((w["cd22"] * p["u"] - w["cd12"] * p["v"]) / det, (w["cd11"] * p["v"] - w["cd21"] * p["u"]) / det)
+
+    def inverted(f: Column) -> Column:
+        start = _pair(f["u"] + polynomial(w["ap"], w["sip_order"] + 2, f["u"], f["v"]), f["v"] + polynomial(w["bp"], w["sip_order"] + 2, f["u"], f["v"]))
+        step = lambda s, _: _pair(f["u"] - polynomial(w["a"], w["sip_order"], s["u"], s["v"]), f["v"] - polynomial(w["b"], w["sip_order"], s["u"], s["v"]))
+        return F.when(w["sip_order"] >= 2, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)).otherwise(f)
 
+    def pixel(s: Column) -> Column:
+        return F.struct((w["crpix_x"] + s["u"]).alias("x"), (w["crpix_y"] + s["v"]).alias("y"))
 
-def sky_to_pixel(w: Column, ra: Column, dec: Column, rounds: int = 6) -> tuple[Column, Column]:
-    """Pixel of a position in degrees; null behind the tangent plane.  The SIP terms are inverted
-    by fixed-point iterations from the inverse polynomial's start, if there is one."""
-    plane = TangentPlane.at(F.radians(w["crval_ra"]), F.radians(w["crval_dec"]))
-    p = to_vector(F.radians(ra), F.radians(dec))
-    front = plane.dot(p) > 0
-    xi, eta = F.degrees(plane.xi(p)), F.degrees(plane.eta(p))
-    det = w["cd11"] * w["cd22"] - w["cd12"] * w["cd21"]
-    uf, vf = (w["cd22"] * xi - w["cd12"] * eta) / det, (w["cd11"] * eta - w["cd21"] * xi) / det
-    start = F.struct((uf + polynomial(w["ap"], w["sip_order"] + 2, uf, vf)).alias("u"), (vf + polynomial(w["bp"], w["sip_order"] + 2, uf, vf)).alias("v"))
-    step = lambda s, _: F.struct((uf - polynomial(w["a"], w["sip_order"], s["u"], s["v"])).alias("u"), (vf - polynomial(w["b"], w["sip_order"], s["u"], s["v"])).alias("v"))
-    uv = F.aggregate(F.sequence(F.lit(1), F.when(w["sip_order"] >= 2, F.lit(rounds)).otherwise(F.lit(1))), start, step)
-    return F.when(front, w["crpix_x"] + uv["u"]), F.when(front, w["crpix_y"] + uv["v"])
+    return let(dot, lambda c: F.when(c > 0, let(let(let(plane(c), linear_part), inverted), pixel)))
 
 
 def determinant(w: Column) -> Column:
@@ -111,8 +146,8 @@ def keywords(w: Column) -> Column:
     return F.concat(head, terms("A", "a", order), terms("B", "b", order), terms("AP", "ap", order + 2), terms("BP", "bp", order + 2))
 
 
-def outline(w: Column, width: Column, height: Column, steps: int = 8) -> Column:
-    """Sky positions along the image's edges, ``steps`` an edge, as an array of (ra, dec)."""
+def outline(width: Column, height: Column, steps: int = 8) -> Column:
+    """Pixels along the image's edges, ``steps`` an edge, as an array of (x, y) to explode."""
     right, top = width - 1.0, height - 1.0
 
     def point(k: Column) -> Column:
@@ -120,8 +155,7 @@ def outline(w: Column, width: Column, height: Column, steps: int = 8) -> Column:
         edge = F.floor(k / steps)
         x = F.when(edge == 0, t * right).when(edge == 1, right).when(edge == 2, (1 - t) * right).otherwise(F.lit(0.0))
         y = F.when(edge == 0, F.lit(0.0)).when(edge == 1, t * top).when(edge == 2, top).otherwise((1 - t) * top)
-        ra, dec = pixel_to_sky(w, x, y)
-        return F.struct(ra.alias("ra"), dec.alias("dec"))
+        return F.struct(x.alias("x"), y.alias("y"))
 
     return F.transform(F.sequence(F.lit(0), F.lit(4 * steps - 1)), point)
 
