@@ -197,6 +197,106 @@ def dedup_substrings(docs: DataFrame, n: int = WINDOW, text: str = "text", doc:
     return by_chunk.cogroup(more.groupBy("chunk")).applyInArrow(last, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def longest_repeats(docs: DataFrame, n: int = WINDOW, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """``doc_id, level, start, length``: runs of words covered by windows that two documents hold.
+
+    Levels double from ``n`` words on; where both halves of a window repeat it is looked up, until a
+    level has no candidates.  A run that lies within one of the next level is left out.
+    """
+    dealt, buckets = _dealt(docs, text, doc)
+    by_chunk, answer = dealt.groupBy("chunk"), lambda sent: _answer(sent, buckets)
+    state_type = "chunk int, level int, bits binary"
+
+    def halves(c: Chunk, at: np.ndarray, level: int, before: np.ndarray) -> np.ndarray:
+        """Which windows of ``level`` words have both halves among the repeated ones before."""
+        if level == n:
+            return before
+        held = np.zeros(len(c.h), bool)
+        held[c.starts(level // 2)[before]] = True
+        return held[at] & held[at + level // 2]
+
+    def send(level: int):
+        def sending(rows: pa.Table, state: pa.Table) -> pa.Table:
+            if not rows.num_rows:
+                return _table([], _SENT)
+            c, chunk = Chunk(rows), rows.column("chunk")[0].as_py()
+            at = c.starts(level)
+            if level == n:
+                d = Distinct(seeds(c.h, at, n), c.owner(at))
+                may = _flags(d, state, buckets)[d.of]
+            else:
+                may = halves(c, at, level, _bits(state, len(c.starts(level // 2))))
+            d = Distinct(windows(c.h, level)[at[may]] & ~np.uint64(1) if may.any() else np.zeros(0, np.uint64), c.owner(at[may]))
+            return _table([*_sent(chunk, d, buckets, False), (chunk, buckets + chunk, np.packbits(may).tobytes(), b"")], _SENT)
+
+        return sending
+
+    def keep(level: int):
+        def keeping(rows: pa.Table, answers: pa.Table) -> pa.Table:
+            if not rows.num_rows:
+                return _table([], state_type)
+            c = Chunk(rows)
+            at = c.starts(level)
+            may = np.zeros(len(at), bool)
+            for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist()):
+                if b >= buckets:
+                    may = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
+            d = Distinct(windows(c.h, level)[at[may]] & ~np.uint64(1) if may.any() else np.zeros(0, np.uint64), c.owner(at[may]))
+            out = np.zeros(len(at), bool)
+            out[np.flatnonzero(may)] = _flags(d, answers, buckets)[d.of]
+            return _table([(rows.column("chunk")[0].as_py(), level, np.packbits(out).tobytes())] if out.any() else [], state_type)
+
+        return keeping
+
+    def first(rows: pa.Table) -> pa.Table:
+        c = Chunk(rows)
+        at = c.starts(n)
+        return _table(_sent(rows.column("chunk")[0].as_py(), Distinct(seeds(c.h, at, n), c.owner(at)), buckets, False), _SENT)
+
+    level, found = n, []
+    state = by_chunk.applyInArrow(first, _SENT).groupBy("bucket").applyInArrow(answer, _ANSWER)
+    while True:
+        told = by_chunk.cogroup(state.groupBy("chunk")).applyInArrow(send(level), _SENT).groupBy("bucket").applyInArrow(answer, _ANSWER)
+        state = cut(by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(keep(level), state_type))
+        if state.isEmpty():
+            break
+        found.append(state)
+        level *= 2
+
+    def runs(rows: pa.Table, states: pa.Table) -> pa.Table:
+        schema = "doc_id long, level int, start long, length long"
+        if not rows.num_rows or not states.num_rows:
+            return _table([], schema)
+        c, out = Chunk(rows), []
+        ids = c.rows.column("doc_id").to_pylist()
+        deeper = np.zeros(len(c.h), bool)
+        for level, bits in sorted(zip(states.column("level").to_pylist(), states.column("bits").to_pylist()), reverse=True):
+            at = c.starts(level)
+            at = at[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)]
+            inside = covered(at, level, len(c.h))
+            edge = np.diff(np.r_[False, inside, False].astype(np.int8))
+            doc_start = np.zeros(len(c.h) + 1, bool)
+            doc_start[c.words.first] = True
+            begin = np.flatnonzero((edge[:-1] == 1) | (inside & doc_start[:-1]))
+            end = np.flatnonzero((edge[1:] == -1) | (inside & doc_start[1:])) + 1
+            for a, b in zip(begin, end):
+                if not deeper[a:b].all():
+                    k = int(np.searchsorted(c.words.first, a, "right") - 1)
+                    out.append((ids[k], level, int(a - c.words.first[k]), int(b - a)))
+            deeper |= inside
+        return _table(out, schema)
+
+    states = found[0] if found else state
+    for more in found[1:]:
+        states = states.unionByName(more)
+    return by_chunk.cogroup(states.groupBy("chunk")).applyInArrow(runs, "doc_id long, level int, start long, length long")
+
+
+def _bits(state: pa.Table, count: int) -> np.ndarray:
+    rows = state.column("bits").to_pylist()
+    return np.unpackbits(np.frombuffer(rows[0], np.uint8), count=count).astype(bool) if rows else np.zeros(count, bool)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -48,5 +48,46 @@ def test_against_brute_force(spark, monkeypatch):
         assert got == brute(rows, n)
 
 
+def brute_runs(rows, n):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    out, level, deeper = [], n, [set() for _ in rows]
+    levels = []
+    while True:
+        held = defaultdict(set)
+        for (i, _), w in zip(rows, words):
+            for k in range(len(w) - level + 1):
+                held[tuple(w[k : k + level])].add(i)
+        inside = [set() for _ in rows]
+        for j, w in enumerate(words):
+            for k in range(len(w) - level + 1):
+                if len(held[tuple(w[k : k + level])]) > 1:
+                    inside[j] |= set(range(k, k + level))
+        if not any(inside):
+            break
+        levels.append((level, inside))
+        level *= 2
+    for level, inside in reversed(levels):
+        for j, s in enumerate(inside):
+            for a in sorted(s):
+                if a - 1 not in s:
+                    b = a
+                    while b in s:
+                        b += 1
+                    if not set(range(a, b)) <= deeper[j]:
+                        out.append((rows[j][0], level, a, b - a))
+            deeper[j] = deeper[j] | s
+    return sorted(out)
+
+
+def test_longest_repeats(spark, monkeypatch):
+    rows = [(i, t) for i, (_, t) in enumerate(rows_of())][:150]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk, n in ((1 << 22, 13), (4000, 6)):
+        monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
+        got = sorted((r.doc_id, r.level, r.start, r.length) for r in substrings.longest_repeats(df, n).collect())
+        assert got == brute_runs(rows, n) and len({x[1] for x in got}) > 1
+    assert substrings.longest_repeats(df.limit(0)).count() == 0
+
+
 def test_no_rows(spark):
     assert substrings.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
