@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyquilt.plans import enrich, images, sky
+from skyquilt.plans import enrich, images, sky, solver
 
-_MODULES = (sky, images, enrich)
+_MODULES = (sky, images, enrich, solver)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -138,14 +138,24 @@ def gathered(hypotheses: DataFrame, sizes: DataFrame, stars: DataFrame, grid: Ri
     return near.where((F.col("sx") >= -m) & (F.col("sy") >= -m) & (F.col("sx") <= F.col("width") - 1 + m) & (F.col("sy") <= F.col("height") - 1 + m))
 
 
+def brightest(seen: DataFrame, detections: DataFrame, times: float) -> DataFrame:
+    """Of the catalog stars of each hypothesis, the brightest: ``times`` as many as the image has detections."""
+    count = detections.groupBy("image_id").agg(F.count(F.lit(1)).alias("__count"))
+    w = Window.partitionBy("image_id", "hypothesis").orderBy("mag", "star_id")
+    placed = seen.withColumn("__place", F.row_number().over(w)).join(count, "image_id")
+    return placed.where(F.col("__place") <= times * F.col("__count")).drop("__place", "__count")
+
+
 def verified(hypotheses: DataFrame, detections: DataFrame, sizes: DataFrame, stars: DataFrame, grid: RingGrid, options: SolverOptions = SolverOptions()) -> DataFrame:
     """Hypotheses with ``accepted`` and ``best`` log-odds."""
     seen = gathered(hypotheses, sizes, stars, grid)
     d2 = (F.col("sx") - F.col("quad_x")) * (F.col("sx") - F.col("quad_x")) + (F.col("sy") - F.col("quad_y")) * (F.col("sy") - F.col("quad_y"))
     e2 = options.position_error**2
     variance = e2 * (1.25 + d2 / F.col("quad_r2")) + 1e-6 * d2
-    seen = seen.withColumn("variance", variance).where(F.col("variance") <= 16 * e2).withColumn("radius", 3 * F.sqrt("variance"))
-    seen = cut(seen.select("image_id", "hypothesis", F.col("id").alias("star_id"), "mag", "sx", "sy", "variance", "radius"))
+    # every star of the image takes part in the count of the brightest, near the quad or not
+    seen = seen.withColumn("variance", variance).withColumn("inside", F.col("variance") <= 16 * e2).withColumn("radius", 3 * F.sqrt("variance"))
+    seen = cut(brightest(seen.select("image_id", "hypothesis", F.col("id").alias("star_id"), "mag", "sx", "sy", "variance", "radius", "inside"), detections, 1.0))
+    seen = seen.where("inside").drop("inside")
     key = F.concat_ws(":", "hypothesis", "star_id")
     lit = detections.select("image_id", F.col("rank").alias("found"), "x", "y")
     met = nearest(seen.withColumn("key", key), lit, ("sx", "x"), ("sy", "y"), "radius", "key", ["found"], ["image_id"], "left", width=6 * options.position_error)
@@ -260,7 +270,8 @@ def refined(chosen: DataFrame, detections: DataFrame, sizes: DataFrame, stars: D
     seen = gathered(chosen, sizes, stars, grid, 0.05)
     d2 = (F.col("sx") - F.col("quad_x")) * (F.col("sx") - F.col("quad_x")) + (F.col("sy") - F.col("quad_y")) * (F.col("sy") - F.col("quad_y"))
     variance = options.position_error**2 * (1.25 + d2 / F.col("quad_r2")) + 1e-6 * d2
-    refs = seen.select("image_id", F.col("id").alias("star_id"), "ra", "dec", "sx", "sy", variance.alias("variance"), "best", "width", "height")
+    refs = brightest(seen.select("image_id", "hypothesis", F.col("id").alias("star_id"), "mag", "ra", "dec", "sx", "sy", variance.alias("variance"), "best", "width", "height"), detections, 2.0)
+    refs = refs.drop("hypothesis", "mag")
 
     def one(det: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         names = ["image_id", "ra", "dec", "scale", "rotation", "flipped", "pairs", "rms_px", "log_odds", "wcs", "matched"]
