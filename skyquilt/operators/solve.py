@@ -305,3 +305,31 @@ def detect_images(images_: DataFrame, threshold: float = 5.0, most: int = 1000)
                 yield pd.DataFrame({"image_id": i, "rank": np.arange(len(s)), "x": s[:, 0] * b + half, "y": s[:, 1] * b + half, "flux": s[:, 2], "fwhm": s[:, 3] * b, "concentration": s[:, 4], "snr": s[:, 5], "saturated": s[:, 6] > 0})
 
     return images_.where("data is not null").select("image_id", "width", "height", "binning", "data").mapInPandas(run, "image_id long, rank int, x double, y double, flux double, fwhm double, concentration double, snr double, saturated boolean")
+
+
+def star_widths(matched: DataFrame, images_: DataFrame, most: int = 50, half: int = 8) -> DataFrame:
+    """``image_id, fwhm``: median width in pixels of Gaussian fits to at most ``most`` evenly spaced
+    matched stars (``image_id, x, y, snr, saturated, fwhm``; unsaturated, snr of 20 or more).
+
+    Images with under 5 fits have the median of their measured widths instead.
+    """
+    good = matched.where(~F.col("saturated") & (F.col("snr") >= 20))
+    some = images.even_sample(good, most, "snr")
+
+    def fit(stars: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        widths = []
+        if len(image) and len(stars):
+            r = image.iloc[0]
+            a = np.frombuffer(r["data"], "<f4").reshape(r["height"], r["width"]).astype(float)
+            for x, y in zip(stars["x"], stars["y"]):
+                i, j = int(round(x)), int(round(y))
+                stamp = a[max(0, j - half) : j + half + 1, max(0, i - half) : i + half + 1]
+                found = fits.fit_gaussian(stamp) if min(stamp.shape) >= 7 else None
+                if found and 0.5 < found[1] < 2 * half:
+                    widths.append(found[1])
+        if len(widths) < 5:
+            widths = list(stars["fwhm"])
+        out = [(stars["image_id"].iloc[0], float(sorted(widths)[len(widths) // 2]))] if widths else []
+        return pd.DataFrame(out, columns=["image_id", "fwhm"])
+
+    return some.groupBy("image_id").cogroup(images_.select("image_id", "width", "height", "data").groupBy("image_id")).applyInPandas(fit, "image_id long, fwhm double")

@@ -60,9 +60,8 @@ DETECTIONS = f"""SELECT image_id, k AS star, 1600 * (k * {PHI}::double - floor(k
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_id, ref, rx, ry``: catalog positions on images, from orders; as many images as suppliers."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("__n"))
-    o = o.crossJoin(F.broadcast(n))  # one row
-    return o.select((F.col("o_custkey") % F.col("__n") + 1).alias("image_id"), F.col("o_orderkey").alias("ref"), (1600 * frac(F.col("o_orderkey") * SIGMA)).alias("rx"), (1200 * frac(F.col("o_orderkey") * PHI)).alias("ry"))
+    n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] or 1
+    return o.select((F.col("o_custkey") % n + 1).alias("image_id"), F.col("o_orderkey").alias("ref"), (1600 * frac(F.col("o_orderkey") * SIGMA)).alias("rx"), (1200 * frac(F.col("o_orderkey") * PHI)).alias("ry"))
 
 
 REFERENCES = f"""SELECT o_custkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS image_id, o_orderkey AS ref,

@@ -130,7 +130,9 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
 
 def star_lists(spark: SparkSession, d: str) -> DataFrame:
     """The 150 brightest stars of each field, at their pixels with a little deterministic noise."""
-    rows = _fields(spark, d).crossJoin(ad.stars(spark, d)).withColumn("p", wf.sky_to_pixel(F.col("w"), F.degrees("ra"), F.degrees("dec")))
+    grid = RingGrid(math.radians(8))
+    cones = _fields(spark, d).withColumns({"cone_ra": F.radians("w.crval_ra"), "cone_dec": F.radians("w.crval_dec"), "cone_radius": F.lit(math.atan(math.radians(SCALE / 3600) * 1000) * 1.02)})
+    rows = grid.cone_join(cones, grid.with_cell(ad.stars(spark, d))).withColumn("p", wf.sky_to_pixel(F.col("w"), F.degrees("ra"), F.degrees("dec")))
     rows = rows.where("p.x between 0 and 1599 and p.y between 0 and 1199")
     w = Window.partitionBy("image_id").orderBy("mag", "id")
     noise = lambda c: 0.4 * (frac(F.col("id") * c) - 0.5)

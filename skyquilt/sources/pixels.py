@@ -1,8 +1,8 @@
-"""Image files to grey pixels: FITS, PNG, BMP and raw buffers, decoded in numpy.
+"""Image files to grey pixels: FITS, PNG, JPEG, TIFF, BMP, camera raw previews and raw buffers.
 
-``read_images`` takes Spark's binary file source; every file is decoded in the
-task that reads it.  Colour planes are summed.  JPEG, TIFF and camera raw files
-are told apart but not decoded; they give an ``error``.
+``read_images`` takes Spark's binary file source; every file is decoded in numpy
+in the task that reads it.  Colour planes are summed (of YCbCr the luma is
+taken).  A file that can't be decoded gives an ``error``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyquilt.functions.text import julian_epoch, parse_angle
+from skyquilt.sources.jpeg import decode_jpeg, decode_preview
+from skyquilt.sources.tiff import decode_tiff
 
 IMAGES = "path string, format string, width int, height int, binning int, data binary, cards map<string,string>, error string"
 _RAW_TYPES = {"u8": np.uint8, "u16": np.uint16, "f32": np.float32}
@@ -180,8 +182,9 @@ def decode(name: str, data: bytes) -> tuple[str, np.ndarray, dict[str, str]]:
     if kind == "fits":
         a, cards = decode_fits(data)
         return kind, a, cards
-    if kind in ("png", "bmp"):
-        return kind, (decode_png if kind == "png" else decode_bmp)(data), {}
+    kinds = {"png": decode_png, "bmp": decode_bmp, "jpeg": decode_jpeg, "tiff": decode_tiff, "raw": decode_preview}
+    if kind in kinds:
+        return kind, kinds[kind](data), {}
     raise ValueError(f"{kind} images are not decoded")
 
 

@@ -42,3 +42,18 @@ def test_golden_fields(spark, index):
         mid = np.array([800.0]), np.array([600.0])
         x, y = w.pixels(found.vectors(*mid))
         assert np.hypot(x - 800, y - 600)[0] < 0.3
+
+
+def test_detected_images_and_star_widths(spark):
+    rng = np.random.default_rng(8)
+    yy, xx = np.mgrid[:128, :160]
+    a = 500 + rng.normal(0, 5, xx.shape)
+    truth = [(20 + 13 * k, 15 + 11 * (k % 9), 2000 + 300 * k) for k in range(10)]
+    for x, y, p in truth:
+        a += p * np.exp(-0.5 * ((xx - x) ** 2 + (yy - y) ** 2) / 1.5**2)
+    images = spark.createDataFrame([(7, 160, 128, 1, a.astype("<f4").tobytes())], "image_id long, width int, height int, binning int, data binary")
+    det = solve.detect_images(images).cache()
+    rows = det.orderBy("rank").collect()
+    assert len(rows) >= 9 and [r.flux for r in rows] == sorted((r.flux for r in rows), reverse=True)
+    w = solve.star_widths(det, images).first()
+    assert abs(w.fwhm - 1.5 * 2.3548) < 0.2

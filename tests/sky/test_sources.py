@@ -150,3 +150,19 @@ def test_result_text(spark):
     assert r.splitlines() == ["Centre: 05:35:12.00 -05:24:00.0", "Scale: 1.500 arcsec/px", "Field: 0.67 x 0.50 deg", "Stars: 42", "Objects: M 0, M 1, M 2, M 3, M 4 and 2 more"]
     e = out.exit_code(spark.createDataFrame([(True,), (False,)], "solved boolean")).first()
     assert e.exit_code == 1
+
+
+def test_fits_header_update(spark, tmp_path):
+    from skyquilt.sinks import fitsfiles
+
+    a = np.arange(12, dtype=np.int16).reshape(3, 4)
+    (tmp_path / "a.fits").write_bytes(fits_file(a, ["CRPIX1  =                  9.0", "CD1_2   =                  1.0", "OBJECT  = 'x'", "A_0_2   = 1"]))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    path = files.first().path
+    cards = spark.createDataFrame([(path, ["CRPIX1  =                  2.5", "CTYPE1  = 'RA---TAN'"])], "path string, cards array<string>")
+    got = bytes(fitsfiles.with_solutions(files, cards).first().content)
+    back, keys = pixels.decode_fits(got)
+    assert np.array_equal(back, a) and keys["CRPIX1"] == "2.5" and keys["CTYPE1"] == "RA---TAN" and keys["OBJECT"] == "x" and "CD1_2" not in keys and "A_0_2" not in keys
+    assert len(got) % 2880 == 0
+    with pytest.raises(ValueError):
+        fitsfiles.updated(b"SIMPLE", [])
