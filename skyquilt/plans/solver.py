@@ -89,7 +89,10 @@ class Solver:
         stage before has solved, and ends the loop when none is left.
         """
         left, found = cut(detections), []
-        for stage in plan or stages(self.options)[:2]:
+        plan = plan or stages(self.options)
+        if "fwhm" not in detections.columns:  # nothing tells compact stars from others
+            plan = list({(s.stars, s.tolerance, s.focal): replace(s, keep="all") for s in reversed(plan)}.values())[::-1]
+        for stage in plan:
             options = replace(self.options, stars=stage.stars, tolerance=stage.tolerance)
             rows = self._kept(left, stage.keep)
             if stage.focal:
@@ -124,7 +127,7 @@ SCALE = 100.0
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     """Six fields with known world coordinates, from nation."""
     k, s, r = F.col("n_nationkey"), SCALE / 3600, F.radians(F.col("n_nationkey") * 29)
-    w = wf.linear(F.lit(799.5), F.lit(599.5), k * 61.0, k * 12.0 - 55, (-s * F.cos(r), s * F.sin(r), s * F.sin(r), s * F.cos(r)))
+    w = wf.linear(F.lit(799.5), F.lit(599.5), k * 61.0 % 360, k * 7.0 - 55, (-s * F.cos(r), s * F.sin(r), s * F.sin(r), s * F.cos(r)))
     return table(spark, d, "nation").where("n_nationkey < 18 and n_nationkey % 3 = 0").select(k.cast("long").alias("image_id"), w.alias("w"))
 
 
