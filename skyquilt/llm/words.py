@@ -112,7 +112,21 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each span, from prefix sums of one polynomial over all bytes."""
+    """Hash of the bytes of each span, spans being in order and apart.
+
+    A hash depends on its span alone, so a very long text is hashed in parts.
+    """
+    out, k = np.empty(len(start), np.uint64), 0
+    while k < len(start):
+        to = max(k + 1, int(np.searchsorted(start, start[k] + SLICE_BYTES)))
+        low = start[k]
+        out[k:to] = _spans(data[low : end[to - 1]], start[k:to] - low, end[k:to] - low)
+        k = to
+    return out
+
+
+def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The same from prefix sums of one polynomial over all bytes."""
     power, inverse = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
