@@ -98,3 +98,20 @@ def pascal_number(value: Column, digits: int = 17) -> Column:
     plain = F.format_string(f"%.{digits - 1}E", value)
     mantissa, sign, power = (F.regexp_extract(plain, r"^(.*)E([+-])(\d+)$", k) for k in (1, 2, 3))
     return F.concat(F.when(value < 0, "").otherwise(" "), mantissa, F.lit("E"), sign, F.lpad(power, 3, "0"))
+
+
+def spaced_ra(degrees: Column) -> Column:
+    """``hh: mm  ss.s``."""
+    t = F.floor(F.pmod(degrees, F.lit(360.0)) / 15 * 36000 + 0.5).cast("long") % 864000
+    return F.format_string("%02d: %02d  %04.1f", F.floor(t / 36000).cast("int"), (F.floor(t / 600) % 60).cast("int"), (t % 600) / 10.0)
+
+
+def spaced_dec(degrees: Column) -> Column:
+    """``+ddd mm  ss``, with the letter d after the degrees."""
+    s = F.floor(F.abs(degrees) * 3600 + 0.5).cast("long")
+    return F.concat(F.when(degrees < 0, "-").otherwise("+"), F.format_string("%02dd %02d  %02d", F.floor(s / 3600).cast("int"), (F.floor(s / 60) % 60).cast("int"), (s % 60).cast("int")))
+
+
+def short_distance(degrees: Column) -> Column:
+    """Degrees, minutes or seconds of arc."""
+    return F.when(degrees >= 1, F.format_string("%.1fd", degrees)).when(degrees * 60 >= 1, F.format_string("%.1f'", degrees * 60)).otherwise(F.format_string('%.0f"', degrees * 3600))

@@ -174,3 +174,15 @@ def wide_focals(diagonal_px: float, first: float = 15, last: float = 65, step: f
         out.append(diagonal_px / 2 / math.tan(math.radians(angle)))
         angle *= step
     return out
+
+
+def plate(w: Column) -> dict[str, Column]:
+    """Older keywords of the same plate: pixel sizes along the axes and their rotations, in degrees;
+    the sign of the determinant goes with the X axis."""
+    parity = F.signum(determinant(w))
+    return {
+        "CDELT1": parity * F.sqrt(w["cd11"] * w["cd11"] + w["cd12"] * w["cd12"]),
+        "CDELT2": F.sqrt(w["cd21"] * w["cd21"] + w["cd22"] * w["cd22"]),
+        "CROTA1": F.degrees(F.atan2(-w["cd12"], parity * w["cd11"])),
+        "CROTA2": F.degrees(F.atan2(parity * w["cd21"], w["cd22"])),
+    }

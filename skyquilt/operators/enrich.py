@@ -102,3 +102,17 @@ def densify(vertices: DataFrame, by: tuple[str, ...] = ("poly",), step_deg: floa
     nxt = nxt.withColumns({"__turn": turn, "__n": n}).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     t = F.col("step") / F.col("__n")
     return nxt.select(*by, "seq", "step", F.pmod(F.col("ra") + t * F.col("__turn"), F.lit(360.0)).alias("ra"), (F.col("dec") + t * (F.col("__d") - F.col("dec"))).alias("dec"))
+
+
+def figures(lines: DataFrame, stars: DataFrame) -> DataFrame:
+    """Positions of the stars that lines of a figure (``name, line, numbers``) go through, in order."""
+    points = lines.select("name", "line", F.posexplode("numbers").alias("k", "hr"))
+    return points.join(stars.select("hr", "ra", "dec"), "hr").select("name", "line", "k", "ra", "dec")
+
+
+def named(objects: DataFrame, names: DataFrame) -> DataFrame:
+    """Objects with the common names of a table (``designation, common_name``); an error for names of no object."""
+    unknown = [r.designation for r in names.join(objects, "designation", "left_anti").select("designation").limit(10).collect()]
+    if unknown:
+        raise ValueError(f"names of unknown objects: {unknown}")
+    return objects.drop("common_name").join(names, "designation", "left")

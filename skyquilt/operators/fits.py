@@ -271,3 +271,38 @@ def detect(a: np.ndarray, threshold: float = 5.0, most: int = 1000, by_peak: boo
         if len(kept) == most:
             break
     return stars[kept]
+
+
+def fit_camera(sky: np.ndarray, pixels: np.ndarray, center: tuple[float, float], focal: float, most: float = 0.2) -> tuple[float, np.ndarray, bool, float] | None:
+    """Camera of stars seen through a wide lens: focal length in pixels, rotation from camera to sky,
+    whether the image is mirrored, and the root mean square error of directions.
+
+    The focal length makes the angles between the stars those of the sky (Newton steps on their
+    cosines); the rotation is the orthogonal one closest to it, for either handedness.  None if
+    the focal length leaves ``focal`` by more than the share ``most``.
+    """
+    d = pixels - np.asarray(center)
+    i, j = np.triu_indices(len(d), 1)
+    want, dots, squares = (sky[i] * sky[j]).sum(axis=1), (d[i] * d[j]).sum(axis=1), (d**2).sum(axis=1)
+    f = focal
+    for _ in range(4):
+        lengths = (squares[i] + f * f) * (squares[j] + f * f)
+        cosine = (dots + f * f) / np.sqrt(lengths)
+        slope = f * (2 / np.sqrt(lengths) - cosine * (squares[i] + squares[j] + 2 * f * f) / lengths)
+        if not (slope**2).sum() > 0:
+            return None
+        f -= (slope * (cosine - want)).sum() / (slope**2).sum()
+        if not f > 0:
+            return None
+    if abs(f / focal - 1) > most:
+        return None
+    best = None
+    for mirrored in (False, True):
+        v = np.column_stack([d[:, 0], -d[:, 1] if mirrored else d[:, 1], np.full(len(d), f)])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        u, _, wt = np.linalg.svd(sky.T @ v)
+        r = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ wt))]) @ wt
+        error = float(np.sqrt(((v @ r.T - sky) ** 2).sum(axis=1).mean()))
+        if best is None or error < best[3]:
+            best = (float(f), r, mirrored, error)
+    return best

@@ -111,3 +111,16 @@ def whole_levels(stars: DataFrame, count: int) -> DataFrame:
     before = F.coalesce(F.sum("__n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wanted = sizes.withColumn("__before", before).where(F.col("__before") < count).select("level")
     return stars.join(F.broadcast(wanted), "level")
+
+
+def brightness_rank(stars: DataFrame, mag: str = "mag", id_: str = "id", step: float = 0.01) -> DataFrame:
+    """Add ``rank``, from 0, over all stars by brightness.
+
+    Stars are ranked inside steps of magnitude; the counts of steps, a few
+    thousand rows, give the offsets, so no task sorts the whole catalog.
+    """
+    rows = stars.withColumn("__step", F.floor(brightness(mag) / step))
+    counts = rows.groupBy("__step").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__step", F.coalesce(F.sum("__n").over(Window.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__step").orderBy(brightness(mag), id_)) - 1
+    return rows.withColumn("__in", inside).join(before, "__step").withColumn("rank", F.col("__before") + F.col("__in")).drop("__step", "__in", "__before")

@@ -333,3 +333,16 @@ def star_widths(matched: DataFrame, images_: DataFrame, most: int = 50, half: in
         return pd.DataFrame(out, columns=["image_id", "fwhm"])
 
     return some.groupBy("image_id").cogroup(images_.select("image_id", "width", "height", "data").groupBy("image_id")).applyInPandas(fit, "image_id long, fwhm double")
+
+
+def checks_present(found: DataFrame, checks: DataFrame, detections: DataFrame, sizes: DataFrame, radius: float = 5.0) -> DataFrame:
+    """Candidates one of whose check stars is detected, or none of whose lie in the image.
+
+    ``checks``: ``image_id, quad, kx, ky``, the pixels where check stars should be.
+    """
+    inside = checks.join(sizes, "image_id").where((F.col("kx") >= 0) & (F.col("ky") >= 0) & (F.col("kx") <= F.col("width") - 1) & (F.col("ky") <= F.col("height") - 1)).select("image_id", "quad", "kx", "ky")
+    lit = detections.select(F.col("image_id").alias("__image"), "x", "y")
+    d2 = (F.col("kx") - F.col("x")) * (F.col("kx") - F.col("x")) + (F.col("ky") - F.col("y")) * (F.col("ky") - F.col("y"))
+    seen = range_join(lit, inside, [Axis("x", "kx", radius), Axis("y", "ky", radius)], (F.col("image_id") == F.col("__image")) & (d2 <= radius * radius)).select("image_id", "quad").distinct()
+    absent = inside.select("image_id", "quad").distinct().join(seen, ["image_id", "quad"], "left_anti")
+    return found.join(absent, ["image_id", "quad"], "left_anti")

@@ -227,7 +227,34 @@ def sky_chart(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("band").agg(F.array_join(F.transform(points, lambda p: p["id"].cast("string")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (objects_around, objects_in_field, constellation_first_match, entity_resolution, object_aliases, manifest_upsert, rejected_anti, installed_left_join, retention_window, progress_throttle, sexagesimal_parse, sexagesimal_format, designation_normalize, file_names, query_parameters, julian_epochs, stale_header_keys, wcs_pixels, image_outline, wcs_cards, matches_csv, result_json, text_report, exit_statuses, polygon_edges, sky_chart)}
+def plate_keywords(spark: SparkSession, d: str) -> DataFrame:
+    rows = _wcs_of(spark, d)
+    return rows.select("id", *(F.round(c, 6).alias(k.lower()) for k, c in wf.plate(F.col("w")).items()))
+
+
+def result_ini(spark: SparkSession, d: str) -> DataFrame:
+    warnings = F.when(F.col("id") % 7 == 0, F.array(F.lit("few stars"), F.lit("wide"))).otherwise(F.array().cast("array<string>"))
+    return _wcs_of(spark, d).select("id", out.ini(F.col("id") % 3 > 0, F.col("w"), F.lit("solve x"), F.when(F.col("id") % 5 == 0, "no stars"), warnings).alias("ini"))
+
+
+def spaced_angles(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("id"), tx.spaced_ra(k % 4000 / F.lit(8.0)).alias("ra"), tx.spaced_dec((k % 1438 - 719) / F.lit(8.0)).alias("dec"))
+
+
+def figure_lines(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    lines = n.groupBy(F.col("n_regionkey").alias("name"), (F.col("n_nationkey") % 2).alias("line")).agg(F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda k: k.cast("long") * 3).alias("numbers"))
+    return enrich.figures(lines, ad.stars(spark, d).select(F.col("id").alias("hr"), "ra", "dec")).select("name", "line", "k", *r6("ra", "dec"))
+
+
+def timing_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Median, mean and longest of each kind of run."""
+    e = table(spark, d, "events").where("value is not null")
+    return e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("longest"))
+
+
+QUERIES = {f.__name__: f for f in (objects_around, objects_in_field, constellation_first_match, entity_resolution, object_aliases, manifest_upsert, rejected_anti, installed_left_join, retention_window, progress_throttle, sexagesimal_parse, sexagesimal_format, designation_normalize, file_names, query_parameters, julian_epochs, stale_header_keys, wcs_pixels, image_outline, wcs_cards, matches_csv, result_json, text_report, exit_statuses, polygon_edges, sky_chart, plate_keywords, result_ini, spaced_angles, figure_lines, timing_summary)}
 
 _C = math.cos(CENTRE[1]) * math.cos(CENTRE[0]), math.cos(CENTRE[1]) * math.sin(CENTRE[0]), math.sin(CENTRE[1])
 _HMS = "printf('%02d:%02d:%05.2f', c // 360000, (c // 6000) % 60, (c % 6000) / 100.0::double)"
@@ -254,5 +281,9 @@ ORACLES = {
     "matches_csv": "SELECT printf('%.3f,%.3f,%.7f,%.7f,%.3f', l_quantity * 8, l_quantity * 4, l_discount * 1024, l_tax * 512, l_quantity / 4) AS line, count(*) AS n FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1",
     "result_json": "SELECT o_orderkey, '{\"id\":' || o_orderkey || ',\"solved\":' || (o_orderkey % 3 > 0)::varchar || ',\"scale\":' || CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE (o_custkey / 8.0::double)::varchar END || CASE WHEN o_orderkey % 20 = 0 THEN ',\"focal\":' || o_custkey ELSE '' END || '}' AS json FROM orders WHERE o_orderkey % 10 = 0",
     "exit_statuses": "SELECT CASE WHEN o_orderkey % 50 = 0 THEN 32 WHEN o_orderkey % 51 = 0 THEN 16 WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_custkey % 9 < 4 THEN 2 ELSE 1 END AS status, count(*) AS n FROM orders GROUP BY 1",
+    "plate_keywords": "WITH k AS (SELECT o_orderkey AS id, radians(o_orderkey % 360) AS r, 0.005::double + (o_orderkey % 50) * 0.0001::double AS s FROM orders WHERE o_orderkey % 10 = 3) SELECT id, round(-s, 6) AS cdelt1, round(s, 6) AS cdelt2, round(degrees(atan2(-s * sin(r), s * cos(r))), 6) AS crota1, round(degrees(atan2(-s * sin(r), s * cos(r))), 6) AS crota2 FROM k",
+    "spaced_angles": "SELECT o_orderkey AS id, printf('%02d: %02d  %04.1f', t // 36000, (t // 600) % 60, (t % 600) / 10.0::double) AS ra, CASE WHEN k < 0 THEN '-' ELSE '+' END || printf('%02dd %02d  %02d', s // 3600, (s // 60) % 60, s % 60) AS dec FROM (SELECT o_orderkey, floor((o_orderkey % 4000 / 8.0::double) % 360 / 15 * 36000 + 0.5)::bigint % 864000 AS t, o_orderkey % 1438 - 719 AS k, floor(abs((o_orderkey % 1438 - 719) / 8.0::double) * 3600 + 0.5)::bigint AS s FROM orders)",
+    "figure_lines": f"WITH l AS (SELECT n_regionkey AS name, n_nationkey % 2 AS line, n_nationkey * 3 AS hr, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 2 ORDER BY n_nationkey) - 1 AS k FROM nation) SELECT name, line, k, round(ra, 6) AS ra, round(dec, 6) AS dec FROM l JOIN ({ad.STARS}) ON id = hr",
+    "timing_summary": "SELECT event_type, round(median(value), 6) AS median, round(avg(value), 6) AS mean, max(value) AS longest FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "sky_chart": f"SELECT floor(degrees(dec) / 30)::bigint AS band, string_agg(id::varchar, ',' ORDER BY round(mag, 4), id) AS ids, count(*) AS n FROM ({ad.STARS}) WHERE mag <= 7.5 GROUP BY 1",
 }

@@ -227,7 +227,12 @@ def chunk_top(spark: SparkSession, d: str) -> DataFrame:
     return pyramid.brightest(s, ["chunk"], 5).where("rn <= 5").select("chunk", "id", "rn")
 
 
-QUERIES = {f.__name__: f for f in (pyramid_level0, pyramid_levels_3, pyramid_adaptive, cell_counts_prefix, cone_search, cone_search_limit_levels, cones_of_nations, cell_centers, proper_motion_positions, tangent_projection, separation_pairs, quads_uncapped, quads_capped, code_range_join, wide_quads, catalog_union, chunk_top)}
+def brightness_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Rank of every star by brightness, without a global sort."""
+    return pyramid.brightness_rank(ad.stars(spark, d)).select("id", "rank")
+
+
+QUERIES = {f.__name__: f for f in (pyramid_level0, pyramid_levels_3, pyramid_adaptive, cell_counts_prefix, cone_search, cone_search_limit_levels, cones_of_nations, cell_centers, proper_motion_positions, tangent_projection, separation_pairs, quads_uncapped, quads_capped, code_range_join, wide_quads, catalog_union, chunk_top, brightness_rank)}
 
 _SEP = "2 * asin(least(1, sqrt(sin((d2 - dec) / 2) ** 2 + cos(dec) * cos(d2) * sin((r2 - ra) / 2) ** 2)))"
 _MOVED = "SELECT *, CASE WHEN pm_ra = 0 AND pm_dec = 0 THEN ra ELSE r - {0} * floor(r / {0}) END AS r2, CASE WHEN pm_ra = 0 AND pm_dec = 0 THEN dec ELSE dec + pm_dec * {1!r} * {2} END AS d2 FROM (SELECT *, ra + pm_ra * {1!r} * {2} / greatest(cos(dec), 1e-6) AS r FROM ({3}))"
@@ -246,5 +251,6 @@ ORACLES = {
     "code_range_join": f"WITH c AS ({ad.CODES}), p AS (SELECT a.id, b.id AS probe, (a.c0 - b.c0)::bigint ** 2 + (a.c1 - b.c1)::bigint ** 2 + (a.c2 - b.c2)::bigint ** 2 + (a.c3 - b.c3)::bigint ** 2 AS d2 FROM c a JOIN c b ON a.id <> b.id AND abs(a.c0 - b.c0) <= {TOL}) SELECT id, probe, d2::bigint AS d2 FROM p WHERE d2 <= {TOL * TOL}",
     "wide_quads": f"WITH {_WIDE} SELECT ((({_BIN.format('c0')} * b + {_BIN.format('c1')}) * b + {_BIN.format('c2')}) * b + {_BIN.format('c3')}) AS cell, count(*) AS n, min(id) AS first FROM w, k GROUP BY cell",
     "catalog_union": f"SELECT id, round(CASE WHEN id % 4 = 1 THEN r2 ELSE ra END, 6) AS ra, round(CASE WHEN id % 4 = 1 THEN d2 ELSE dec END, 6) AS dec, round(mag, 6) AS mag, 2000.0::double AS epoch FROM ({_MOVED.format(TWO_PI, MAS, 8.75, ad.STARS)})",
+    "brightness_rank": f"SELECT id, row_number() OVER (ORDER BY (mag + 100)::float, id) - 1 AS rank FROM ({ad.STARS})",
     "chunk_top": f"SELECT * FROM (SELECT floor(id / 1000)::bigint AS chunk, id, row_number() OVER (PARTITION BY floor(id / 1000) ORDER BY (mag + 100)::float, id) AS rn FROM ({ad.STARS})) WHERE rn <= 5",
 }

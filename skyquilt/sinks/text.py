@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.functions.text import format_dec, format_ra
+from skyquilt.functions.text import format_dec, format_ra, pascal_number
+from skyquilt.functions.wcs import plate
 
 MATCHES_HEADER = "x,y,ra,dec,residual_arcsec"
 
@@ -61,3 +62,22 @@ def exit_code(results: DataFrame, solved: str = "solved", invalid: str | None =
     """0 if all are solved, 1 if some are not, 2 for a usage error."""
     bad = F.bool_or(invalid) if invalid else F.lit(False)
     return results.agg(F.when(bad, 2).when(F.bool_and(solved), 0).otherwise(1).alias("exit_code"))
+
+
+def ini(solved: Column, w: Column, command: Column, error: Column, warnings: Column) -> Column:
+    """Result lines of the compatible command; warnings are one line, as its readers take one."""
+    values = {"CRPIX1": w["crpix_x"] + 1, "CRPIX2": w["crpix_y"] + 1, "CRVAL1": w["crval_ra"], "CRVAL2": w["crval_dec"], **plate(w), "CD1_1": w["cd11"], "CD1_2": w["cd12"], "CD2_1": w["cd21"], "CD2_2": w["cd22"]}
+    lines = F.concat_ws("\n", *(F.concat(F.lit(k + "="), pascal_number(v)) for k, v in values.items()))
+    return F.concat(
+        F.when(solved, F.concat(F.lit("PLTSOLVD=T\n"), lines)).otherwise("PLTSOLVD=F"),
+        F.lit("\nCMDLINE="), command,
+        F.when(error.isNotNull(), F.concat(F.lit("\nERROR="), error)).otherwise(""),
+        F.when(F.size(warnings) > 0, F.concat(F.lit("\nWARNING="), F.array_join(warnings, " "))).otherwise(""),
+        F.lit("\n"),
+    )
+
+
+def catalog_listing(available: DataFrame, installed: DataFrame) -> DataFrame:
+    """``name, json`` of every known catalog: whether it is installed, its stars and size; unknown fields are left out."""
+    both = available.join(installed, "name", "full")
+    return both.select("name", F.to_json(F.struct("name", F.col("stars").isNotNull().alias("installed"), *(c for c in both.columns if c != "name"))).alias("json"))

@@ -135,3 +135,16 @@ def test_precession():
     m = np.array(sphere.precession_matrix(2000.0, 1875.0))
     assert np.allclose(m @ m.T, np.eye(3), atol=1e-12)
     assert np.allclose(np.array(sphere.precession_matrix(1875.0, 2000.0)) @ m, np.eye(3), atol=1e-7)
+
+
+def test_wide_camera():
+    rng = np.random.default_rng(6)
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    q *= np.sign(np.linalg.det(q))
+    for mirrored in (False, True):
+        d = rng.uniform(-700, 700, (4, 2))
+        v = np.column_stack([d[:, 0], -d[:, 1] if mirrored else d[:, 1], np.full(4, 900.0)])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        f, r, m, error = fits.fit_camera(v @ q.T, d + [799.5, 599.5], (799.5, 599.5), 820.0)
+        assert abs(f - 900) < 0.5 and m == mirrored and np.allclose(r, q, atol=1e-3) and error < 1e-3
+        assert fits.fit_camera(v @ q.T, d + [799.5, 599.5], (799.5, 599.5), 400.0) is None

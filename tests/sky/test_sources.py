@@ -166,3 +166,32 @@ def test_fits_header_update(spark, tmp_path):
     assert len(got) % 2880 == 0
     with pytest.raises(ValueError):
         fitsfiles.updated(b"SIMPLE", [])
+
+
+def test_thumbnails(spark, tmp_path):
+    from skyquilt.sinks import png
+
+    rng = np.random.default_rng(2)
+    a = (1000 + rng.normal(0, 10, (90, 130))).astype(np.float32)
+    a[40:44, 60:64] = 30000
+    (tmp_path / "a.fits").write_bytes(fits_file(a))
+    row = png.thumbnails(pixels.read_images(spark, str(tmp_path)), 64).first()
+    small = pixels.decode_png(bytes(row.png))
+    assert small.shape == (30, 44) and small.max() == 255 and 20 < np.median(small) < 90
+    assert not png.thumbnail(np.full((5, 5), 3.0)).any()
+
+
+def test_listing_names_and_checks(spark):
+    from skyquilt.operators import enrich, solve
+
+    got = {r.name: r.json for r in out.catalog_listing(spark.createDataFrame([("a", 5), ("b", 6)], "name string, size long"), spark.createDataFrame([("b", 9), ("c", 1)], "name string, stars long")).collect()}
+    assert got == {"a": '{"name":"a","installed":false,"size":5}', "b": '{"name":"b","installed":true,"size":6,"stars":9}', "c": '{"name":"c","installed":true,"stars":1}'}
+    objects = spark.createDataFrame([("NGC 1", None), ("NGC 2", None)], "designation string, common_name string")
+    assert sorted(str(r.common_name) for r in enrich.named(objects, spark.createDataFrame([("NGC 1", "One")], "designation string, common_name string")).collect()) == ["None", "One"]
+    with pytest.raises(ValueError):
+        enrich.named(objects, spark.createDataFrame([("NGC 3", "x")], "designation string, common_name string"))
+    found = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "image_id long, quad long")
+    checks = spark.createDataFrame([(1, 1, 10.0, 10.0), (1, 2, 50.0, 50.0), (1, 3, -5.0, 3.0)], "image_id long, quad long, kx double, ky double")
+    det = spark.createDataFrame([(1, 12.0, 9.0), (2, 50.0, 50.0)], "image_id long, x double, y double")
+    sizes = spark.createDataFrame([(1, 100, 100)], "image_id long, width int, height int")
+    assert sorted(r.quad for r in solve.checks_present(found, checks, det, sizes).collect()) == [1, 3]
