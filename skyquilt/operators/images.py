@@ -142,7 +142,8 @@ def point_sources(stars: DataFrame, by: tuple[str, ...] = ("image_id",)) -> Data
 def ranked(stars: DataFrame, order: str, most: int, by: tuple[str, ...] = ("image_id",), tie: str = "star") -> DataFrame:
     """The ``most`` first of each image by decreasing ``order``, with ``rank`` from 0."""
     w = Window.partitionBy(*by).orderBy(F.col(order).desc(), tie)
-    return stars.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most)
+    # filtered as a row number, so that Spark prunes before the shuffle
+    return stars.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most).withColumn("rank", F.col("__rn") - 1).drop("__rn")
 
 
 def even_sample(stars: DataFrame, count: int, order: str = "rank", by: tuple[str, ...] = ("image_id",)) -> DataFrame:

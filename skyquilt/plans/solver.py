@@ -139,7 +139,8 @@ def star_lists(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.where("p.x between 0 and 1599 and p.y between 0 and 1199")
     w = Window.partitionBy("image_id").orderBy("mag", "id")
     noise = lambda c: 0.4 * (frac(F.col("id") * c) - 0.5)
-    return rows.select("image_id", (F.row_number().over(w) - 1).alias("rank"), (F.col("p.x") + noise(ad.PHI)).alias("x"), (F.col("p.y") + noise(ad.RHO)).alias("y")).where("rank < 150")
+    rows = rows.withColumn("rn", F.row_number().over(w)).where("rn <= 150")
+    return rows.select("image_id", (F.col("rn") - 1).alias("rank"), (F.col("p.x") + noise(ad.PHI)).alias("x"), (F.col("p.y") + noise(ad.RHO)).alias("y"))
 
 
 def solve_star_lists(spark: SparkSession, d: str) -> DataFrame:
