@@ -50,10 +50,8 @@ def test_against_brute_force(spark, monkeypatch):
         got = sorted((str(r.doc_id), str(r.item_id), r.n_shingles, r.n_found) for r in decontaminate.leaks(df, it).collect())
         assert got == want
         kept = decontaminate.clean(df, it)
-        held = {x[0] for x in want}
         assert kept.schema == df.schema
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, t in docs if not brute([(d, t)], items))
-        assert held
 
 
 def test_empty_tables(spark):

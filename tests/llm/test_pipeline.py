@@ -1,9 +1,7 @@
 import os
 from collections import Counter
 
-import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skyquilt.llm.quality import QualityRules
@@ -48,4 +46,3 @@ def test_stages_against_brute_force(spark):
         assert out.columns == columns and sorted(r.doc_id for r in got) == sorted(r[0] for r in rows), name
         docs = out
     assert corpus_pipeline.run(spark, DATA).count() == len(rows)
-    assert pa and F

@@ -25,7 +25,6 @@ def texts():
 def test_base_spans(spark):
     some = texts()
     df = spark.createDataFrame([(i, t, f"s{i % 5}", "q", "r") for i, t in enumerate(some)], "doc_id long, text string, source string, spans string, hash string")
-    df.createOrReplaceTempView("x")
     for r in secrets.find_secrets(df).collect():
         want = base(some[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
