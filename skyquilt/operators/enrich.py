@@ -42,14 +42,16 @@ def in_fields(objects: DataFrame, fields: DataFrame) -> DataFrame:
     Objects are a dimension; Spark broadcasts it under its size limit and joins by blocks beyond.
     """
     v, c = to_vector(F.col("ra"), F.col("dec")), to_vector(F.col("field_ra"), F.col("field_dec"))
-    distance = angular_distance(v, c)
-    reach = F.coalesce(F.col("major"), F.lit(0.0)) * ARCMIN / 2
-    # a band of declination as an equi-join, then the exact test
+    distance, reach = angular_distance(v, c), F.coalesce(F.col("major"), F.lit(0.0)) * ARCMIN / 2
+    # bands of declination as an equi-join; a pair meets in the first band that both touch
     band = math.radians(15)
-    most = F.col("field_radius") + F.coalesce(F.col("major"), F.lit(0.0)) * ARCMIN / 2
-    f = fields.withColumn("__b", F.explode(F.sequence(F.floor((F.col("field_dec") - F.col("field_radius") - math.radians(2)) / band), F.floor((F.col("field_dec") + F.col("field_radius") + math.radians(2)) / band))))
-    joined = f.join(objects.withColumn("__b", F.floor(F.col("dec") / band)), "__b").drop("__b")
-    return prominence(joined.withColumn("distance", distance).where((F.col("distance") <= most) & (reach <= math.radians(2))), ("field",))
+    bands = lambda dec, r: (F.floor((dec - r) / band), F.floor((dec + r) / band))
+    f0, f1 = bands(F.col("field_dec"), F.col("field_radius"))
+    o0, o1 = bands(F.col("dec"), reach)
+    f = fields.withColumn("__f0", f0).withColumn("__b", F.explode(F.sequence("__f0", f1)))
+    o = objects.withColumn("__o0", o0).withColumn("__b", F.explode(F.sequence("__o0", o1)))
+    joined = f.join(o, "__b").where(F.col("__b") == F.greatest("__f0", "__o0")).drop("__b", "__f0", "__o0")
+    return prominence(joined.withColumn("distance", distance).where(F.col("distance") <= F.col("field_radius") + reach), ("field",))
 
 
 def constellations(positions: DataFrame, rows: DataFrame, key: tuple[str, ...] = ("id",), epoch: float = 2000.0) -> DataFrame:

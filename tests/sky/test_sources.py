@@ -195,3 +195,16 @@ def test_listing_names_and_checks(spark):
     det = spark.createDataFrame([(1, 12.0, 9.0), (2, 50.0, 50.0)], "image_id long, x double, y double")
     sizes = spark.createDataFrame([(1, 100, 100)], "image_id long, width int, height int")
     assert sorted(r.quad for r in solve.checks_present(found, checks, det, sizes).collect()) == [1, 3]
+
+
+def test_objects_in_fields_of_any_size(spark):
+    from skyquilt.operators import enrich
+
+    rng = np.random.default_rng(4)
+    objects = [(k, None, 0, 0, None, float(rng.uniform(0, 6.28)), float(np.arcsin(rng.uniform(-1, 1))), float(rng.choice([1, 100, 900, 3000])), 5.0) for k in range(300)]
+    fields = [(k, float(rng.uniform(0, 6.28)), float(np.arcsin(rng.uniform(-1, 1))), float(rng.uniform(0, 0.6))) for k in range(20)]
+    df = spark.createDataFrame(objects, "id long, designation string, catalog int, messier int, common_name string, ra double, dec double, major double, mag double")
+    got = {(r.field, r.id) for r in enrich.in_fields(df, spark.createDataFrame(fields, "field long, field_ra double, field_dec double, field_radius double")).collect()}
+    v = lambda a, d: np.array([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)])
+    want = {(f[0], o[0]) for f in fields for o in objects if np.arccos(np.clip(v(f[1], f[2]) @ v(o[5], o[6]), -1, 1)) <= f[3] + o[7] / 60 / 2 * np.pi / 180}
+    assert got == want and len(want) > 100
