@@ -33,8 +33,8 @@ from skyquilt.llm.words import Words, covered, per_doc, windows
 from skyquilt.session import cut, table
 
 WINDOW = 13
-#: Bytes of text in a chunk, and for each bucket of hashes.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+#: Bytes of text in a chunk, and for each bucket of hashes; at least so many buckets.
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 12 << 20, 64
 _SENT = "chunk int, bucket int, hashes binary, least binary"
 _ANSWER = "chunk int, bucket int, flags binary"
 
@@ -139,7 +139,7 @@ def _dealt(docs: DataFrame, text: str, doc: str) -> tuple[DataFrame, int]:
     """Documents with their chunk, and the number of buckets."""
     src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = -(-size // CHUNK_BYTES) or 1, -(-size // BUCKET_BYTES) or 1
+    chunks, buckets = -(-size // CHUNK_BYTES) or 1, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).cast("int")
     return src.withColumn("chunk", chunk), buckets
 
