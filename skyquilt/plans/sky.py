@@ -104,8 +104,9 @@ def proper_motion_positions(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(z, 6).alias("z"), F.round(separation(F.col("ra"), F.col("dec"), ra, dec) / ARCSEC, 6).alias("moved_arcsec"))
 
 
-def tangent_projection(spark: SparkSession, d: str) -> DataFrame:
-    s = ad.stars(spark, d).where("id % 5 = 0")
+def tangent_projection_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every star in front of the plane, projected and back."""
+    s = ad.stars(spark, d)
     plane = TangentPlane.at(F.lit(0.7), F.lit(0.3))
     v = to_vector(F.col("ra"), F.col("dec"))
     s = s.where(plane.dot(v) > 0.2)
@@ -113,6 +114,11 @@ def tangent_projection(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.round(plane.xi(v), 6).alias("xi"), F.round(plane.eta(v), 6).alias("eta"), F.round(ra_of(back[0], back[1]), 6).alias("ra"), F.round(dec_of(back[2]), 6).alias("dec"))
 
 
+def tangent_projection(spark: SparkSession, d: str) -> DataFrame:
+    """The stars of the twin, one in five of :func:`tangent_projection_whole`."""
+    return tangent_projection_whole(spark, d).where("id % 5 = 0")
+
+
 def _tangent_sql() -> str:
     c0, c1, c2 = math.cos(0.3) * math.cos(0.7), math.cos(0.3) * math.sin(0.7), math.sin(0.3)
     h = math.hypot(c0, c1)
@@ -143,13 +149,21 @@ _TOP = f"s AS ({ad.STARS}), {rings_sql('r', COARSE)}, t AS (SELECT * FROM ({top_
 QUAD_LOW, QUAD_HIGH = math.radians(6.0), math.radians(12.0)
 
 
-def quads_uncapped(spark: SparkSession, d: str) -> DataFrame:
-    """Every quad of bright stars: C and D inside the circle on AB, in canonical order, with its code."""
-    bright = ad.stars(spark, d).where("id % 16 = 0 and mag < 8.2")
-    q = quads.uncapped(bright, RingGrid(COARSE), QUAD_LOW, QUAD_HIGH)
+def _bright_quads(stars: DataFrame) -> DataFrame:
+    q = quads.uncapped(stars.where("mag < 8.2"), RingGrid(COARSE), QUAD_LOW, QUAD_HIGH)
     return q.select("a", "b", "c", "d", "cx", "cy", "dx", "dy")
 
 
+def quads_uncapped_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every quad of bright stars: C and D inside the circle on AB, in canonical order, with its code."""
+    return _bright_quads(ad.stars(spark, d))
+
+
+def quads_uncapped(spark: SparkSession, d: str) -> DataFrame:
+    """The quads among the stars of the twin, one in sixteen of those of :func:`quads_uncapped_whole`."""
+    return _bright_quads(ad.stars(spark, d).where("id % 16 = 0"))
+
+
 def _quads_sql() -> str:
     return f"""WITH s AS ({ad.STARS}), t AS (SELECT id, cos(dec) * cos(ra) AS x, cos(dec) * sin(ra) AS y, sin(dec) AS z FROM s WHERE id % 16 = 0 AND mag < 8.2),
 p AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.x + b.x AS mx, a.y + b.y AS my, a.z + b.z AS mz
@@ -232,7 +246,7 @@ def brightness_rank(spark: SparkSession, d: str) -> DataFrame:
     return pyramid.brightness_rank(ad.stars(spark, d)).select("id", "rank")
 
 
-QUERIES = {f.__name__: f for f in (pyramid_level0, pyramid_levels_3, pyramid_adaptive, cell_counts_prefix, cone_search, cone_search_limit_levels, cones_of_nations, cell_centers, proper_motion_positions, tangent_projection, separation_pairs, quads_uncapped, quads_capped, code_range_join, wide_quads, catalog_union, chunk_top, brightness_rank)}
+QUERIES = {f.__name__: f for f in (pyramid_level0, pyramid_levels_3, pyramid_adaptive, cell_counts_prefix, cone_search, cone_search_limit_levels, cones_of_nations, cell_centers, proper_motion_positions, tangent_projection, tangent_projection_whole, separation_pairs, quads_uncapped, quads_uncapped_whole, quads_capped, code_range_join, wide_quads, catalog_union, chunk_top, brightness_rank)}
 
 _SEP = "2 * asin(least(1, sqrt(sin((d2 - dec) / 2) ** 2 + cos(dec) * cos(d2) * sin((r2 - ra) / 2) ** 2)))"
 _MOVED = "SELECT *, CASE WHEN pm_ra = 0 AND pm_dec = 0 THEN ra ELSE r - {0} * floor(r / {0}) END AS r2, CASE WHEN pm_ra = 0 AND pm_dec = 0 THEN dec ELSE dec + pm_dec * {1!r} * {2} END AS d2 FROM (SELECT *, ra + pm_ra * {1!r} * {2} / greatest(cos(dec), 1e-6) AS r FROM ({3}))"
