@@ -85,7 +85,7 @@ def resolve(base: DataFrame, other: DataFrame, reach_arcmin: float) -> DataFrame
 def aliases(rows: DataFrame, key: str, name: str, order: str) -> DataFrame:
     """First name of each key (by order) and all others, in order."""
     a = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda s: s[name]))
-    return rows.groupBy(key).agg(a.alias("__a")).select(key, F.get("__a", 0).alias("first_name"), F.array_join(F.slice("__a", 2, 1000), ";").alias("aliases"))
+    return rows.groupBy(key).agg(a.alias("__a")).select(key, F.get("__a", 0).alias("first_name"), F.array_join(F.slice("__a", F.lit(2), F.size("__a")), ";").alias("aliases"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

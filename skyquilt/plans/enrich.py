@@ -77,8 +77,13 @@ q AS (SELECT oid, id AS id3 FROM (SELECT *, row_number() OVER (PARTITION BY oid
 SELECT oid, coalesce(id1, id2, id3, -1) AS id, CASE WHEN id1 IS NOT NULL THEN 'designation' WHEN id2 IS NOT NULL THEN 'name' WHEN id3 IS NOT NULL THEN 'position' ELSE 'none' END AS matched_by FROM o LEFT JOIN i USING (oid) LEFT JOIN n USING (oid) LEFT JOIN q USING (oid)"""
 
 
+def object_aliases_whole(spark: SparkSession, d: str, keep: str = "true") -> DataFrame:
+    return enrich.aliases(table(spark, d, "part").select("p_brand", "p_type", "p_partkey").where(keep), "p_brand", "p_type", "p_partkey")
+
+
 def object_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.aliases(table(spark, d, "part").select("p_brand", "p_type", "p_partkey").where("p_partkey < 400"), "p_brand", "p_type", "p_partkey")
+    """The parts of the twin."""
+    return object_aliases_whole(spark, d, "p_partkey < 400")
 
 
 def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -92,13 +97,18 @@ def rejected_anti(spark: SparkSession, d: str) -> DataFrame:
     return codes.join(gone, "id", "left_anti")
 
 
-def installed_left_join(spark: SparkSession, d: str) -> DataFrame:
-    available = table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("gaia-"), F.col("c_custkey").cast("string")).alias("name"))
+def installed_left_join_whole(spark: SparkSession, d: str, keep: str = "true") -> DataFrame:
+    available = table(spark, d, "customer").where(keep).select(F.concat(F.lit("gaia-"), F.col("c_custkey").cast("string")).alias("name"))
     installed = table(spark, d, "orders").groupBy(F.concat(F.lit("gaia-"), F.col("o_custkey").cast("string")).alias("name")).agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum("o_totalprice"), 2).alias("bytes"))
     joined = available.join(installed, "name", "left")
     return joined.select("name", F.coalesce(tx.catalog_size(F.col("name")), F.lit(0)).alias("density"), F.col("parts").isNotNull().alias("installed"), F.coalesce("parts", F.lit(0)).alias("parts"))
 
 
+def installed_left_join(spark: SparkSession, d: str) -> DataFrame:
+    """The customers of the twin."""
+    return installed_left_join_whole(spark, d, "c_custkey % 10 = 0")
+
+
 def retention_window(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 97 * 1e7).alias("bytes"))
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")
@@ -156,20 +166,25 @@ def stale_header_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def _wcs_of(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 3")
+    o = table(spark, d, "orders")
     rot = F.radians(k % 360)
     s = 0.005 + (k % 50) * 0.0001
     w = wf.linear(F.lit(799.5), F.lit(599.5), (k % 360).cast("double"), (k % 171 - 85).cast("double"), (-s * F.cos(rot), s * F.sin(rot), s * F.sin(rot), s * F.cos(rot)))
     return o.select(k.alias("id"), w.alias("w"))
 
 
-def wcs_pixels(spark: SparkSession, d: str) -> DataFrame:
+def wcs_pixels_whole(spark: SparkSession, d: str) -> DataFrame:
     w = F.col("w")
     rows = _wcs_of(spark, d).withColumn("sky", wf.pixel_to_sky(w, F.lit(100.0), F.lit(900.0)))
     rows = rows.withColumn("pixel", wf.sky_to_pixel(w, F.col("sky.ra"), F.col("sky.dec")))
     return rows.select("id", F.round("sky.ra", 6).alias("ra"), F.round("sky.dec", 6).alias("dec"), F.round("pixel.x", 6).alias("x"), F.round("pixel.y", 6).alias("y"), F.round(wf.pixel_scale(w), 6).alias("scale"), F.round(wf.rotation(w), 6).alias("rotation"), wf.flipped(w).alias("flipped"))
 
 
+def wcs_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """The orders of the twin."""
+    return wcs_pixels_whole(spark, d).where("id % 10 = 3")
+
+
 def _wcs_sql() -> str:
     return f"""WITH k AS (SELECT o_orderkey AS id, radians(o_orderkey % 360) AS r, 0.005::double + (o_orderkey % 50) * 0.0001::double AS s, radians(o_orderkey % 360) AS a, radians(o_orderkey % 171 - 85) AS d FROM orders WHERE o_orderkey % 10 = 3),
 t AS (SELECT *, radians(-s * cos(r) * (100 - 799.5) + s * sin(r) * (900 - 599.5)) AS xi, radians(s * sin(r) * (100 - 799.5) + s * cos(r) * (900 - 599.5)) AS eta FROM k),
@@ -179,7 +194,7 @@ SELECT id, round(degrees(CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + {2 * math.
 
 
 def image_outline(spark: SparkSession, d: str) -> DataFrame:
-    rows = _wcs_of(spark, d).where("id < 2000").select("id", "w", F.posexplode(wf.outline(F.lit(1600), F.lit(1200))).alias("k", "p"))
+    rows = _wcs_of(spark, d).select("id", "w", F.posexplode(wf.outline(F.lit(1600), F.lit(1200))).alias("k", "p"))
     rows = rows.withColumn("sky", wf.pixel_to_sky(F.col("w"), F.col("p.x"), F.col("p.y")))
     return rows.select("id", "k", F.round("sky.ra", 6).alias("ra"), F.round("sky.dec", 6).alias("dec"))
 
@@ -190,21 +205,31 @@ def wcs_cards(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.size("k").alias("n"), out.header(cards).alias("header"))
 
 
-def matches_csv(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+def matches_csv_whole(spark: SparkSession, d: str, keep: str = "true") -> DataFrame:
+    li = table(spark, d, "lineitem").where(keep)
     line = out.matches_line(F.col("l_quantity") * 8, F.col("l_quantity") * 4, F.col("l_discount") * 1024, F.col("l_tax") * 512, F.col("l_quantity") / 4)
     return li.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def result_json(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+def matches_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the twin."""
+    return matches_csv_whole(spark, d, "l_orderkey % 20 = 0")
+
+
+def result_json_whole(spark: SparkSession, d: str, keep: str = "true") -> DataFrame:
+    o = table(spark, d, "orders").where(keep)
     fields = {"id": F.col("o_orderkey"), "solved": F.col("o_orderkey") % 3 > 0, "scale": F.when(F.col("o_orderkey") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("o_custkey") / 8.0), "focal": F.when(F.col("o_orderkey") % 20 == 0, F.col("o_custkey"))}
     return o.select("o_orderkey", out.result_json(o, fields, ("focal",)).alias("json"))
 
 
+def result_json(spark: SparkSession, d: str) -> DataFrame:
+    """The orders of the twin."""
+    return result_json_whole(spark, d, "o_orderkey % 10 = 0")
+
+
 def text_report(spark: SparkSession, d: str) -> DataFrame:
     names = F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 8 + 1).cast("int")), lambda i: F.concat(F.lit("M "), i.cast("string")))
-    o = table(spark, d, "orders").where("o_orderkey % 25 = 1")
+    o = table(spark, d, "orders")
     return o.select("o_orderkey", out.report((F.col("o_orderkey") % 360).cast("double"), (F.col("o_orderkey") % 90).cast("double"), F.lit(1.5), F.lit(1600), F.lit(1200), F.col("o_custkey"), names).alias("report"))
 
 
@@ -227,11 +252,16 @@ def sky_chart(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("band").agg(F.array_join(F.transform(points, lambda p: p["id"].cast("string")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
 
 
-def plate_keywords(spark: SparkSession, d: str) -> DataFrame:
+def plate_keywords_whole(spark: SparkSession, d: str) -> DataFrame:
     rows = _wcs_of(spark, d)
     return rows.select("id", *(F.round(c, 6).alias(k.lower()) for k, c in wf.plate(F.col("w")).items()))
 
 
+def plate_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The orders of the twin."""
+    return plate_keywords_whole(spark, d).where("id % 10 = 3")
+
+
 def result_ini(spark: SparkSession, d: str) -> DataFrame:
     warnings = F.when(F.col("id") % 7 == 0, F.array(F.lit("few stars"), F.lit("wide"))).otherwise(F.array().cast("array<string>"))
     return _wcs_of(spark, d).select("id", out.ini(F.col("id") % 3 > 0, F.col("w"), F.lit("solve x"), F.when(F.col("id") % 5 == 0, "no stars"), warnings).alias("ini"))
@@ -254,7 +284,7 @@ def timing_summary(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (objects_around, objects_in_field, constellation_first_match, entity_resolution, object_aliases, manifest_upsert, rejected_anti, installed_left_join, retention_window, progress_throttle, sexagesimal_parse, sexagesimal_format, designation_normalize, file_names, query_parameters, julian_epochs, stale_header_keys, wcs_pixels, image_outline, wcs_cards, matches_csv, result_json, text_report, exit_statuses, polygon_edges, sky_chart, plate_keywords, result_ini, spaced_angles, figure_lines, timing_summary)}
+QUERIES = {f.__name__: f for f in (objects_around, objects_in_field, constellation_first_match, entity_resolution, object_aliases, object_aliases_whole, manifest_upsert, rejected_anti, installed_left_join, installed_left_join_whole, retention_window, progress_throttle, sexagesimal_parse, sexagesimal_format, designation_normalize, file_names, query_parameters, julian_epochs, stale_header_keys, wcs_pixels, wcs_pixels_whole, image_outline, wcs_cards, matches_csv, matches_csv_whole, result_json, result_json_whole, text_report, exit_statuses, polygon_edges, sky_chart, plate_keywords, plate_keywords_whole, result_ini, spaced_angles, figure_lines, timing_summary)}
 
 _C = math.cos(CENTRE[1]) * math.cos(CENTRE[0]), math.cos(CENTRE[1]) * math.sin(CENTRE[0]), math.sin(CENTRE[1])
 _HMS = "printf('%02d:%02d:%05.2f', c // 360000, (c // 6000) % 60, (c % 6000) / 100.0::double)"

@@ -1,14 +1,17 @@
 """Queries over their whole table, against brute force on the smallest tables."""
 
 import os
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
 
 from skyquilt import catalog
+from skyquilt.operators import enrich
 from skyquilt.plans import adapters as ad
 from skyquilt.plans import sky
+from skyquilt.session import table
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -34,6 +37,32 @@ def test_tangent_projection_of_all_stars(spark):
     assert np.abs(got.xi - v @ e / (v @ c)).max() < 1e-6 and np.abs(got.eta - v @ np.cross(c, e) / (v @ c)).max() < 1e-6
 
 
+@pytest.mark.parametrize("name", ["wcs_pixels_whole", "wcs_cards", "plate_keywords_whole", "result_ini", "image_outline", "text_report", "result_json_whole"])
+def test_one_result_an_order(spark, name):
+    got = run(spark, name)
+    key = "o_orderkey" if "o_orderkey" in got.columns else "id"
+    orders = {r[0] for r in table(spark, DATA, "orders").select("o_orderkey").collect()}
+    per = got.groupBy(key).count().collect()
+    assert {r[0] for r in per} == orders and len({r[1] for r in per}) == 1
+
+
+def test_whole_tables_meet_aggregates_and_joins(spark):
+    assert run(spark, "matches_csv_whole").agg({"n": "sum"}).first()[0] == table(spark, DATA, "lineitem").count()
+    parts = Counter(r[0] for r in table(spark, DATA, "orders").select("o_custkey").collect())
+    names = {r[0] for r in table(spark, DATA, "customer").select("c_custkey").collect()}
+    assert {r["name"]: r.parts for r in run(spark, "installed_left_join_whole").collect()} == {f"gaia-{k}": parts[k] for k in names}
+
+
+def test_aliases_of_all_parts(spark):
+    df = spark.createDataFrame([("b", f"t{k}", k) for k in range(1500)], "key string, name string, k long")
+    assert enrich.aliases(df, "key", "name", "k").first().aliases == ";".join(f"t{k}" for k in range(1, 1500))
+    want: dict[str, dict] = {}
+    for r in table(spark, "/root/testdata/sf0.01", "part").orderBy("p_partkey").collect():
+        want.setdefault(r.p_brand, {})[r.p_type] = None
+    got = catalog.QUERIES["object_aliases_whole"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.p_brand: [r.first_name, *r.aliases.split(";")] for r in got} == {b: list(t) for b, t in want.items()}
+
+
 def brute_quads(ids, v, low, high):
     """Sets of stars of all quads: pairs AB, and C, D in the circle on AB in the tangent plane at its middle."""
     out = []
