@@ -3,8 +3,8 @@
 Quads of the brightest detections of each image, in all orders noise allows,
 meet the index's quads in a four-dimensional range join; candidates are fitted,
 their fields gathered by a cone join, and the log-odds of catalog stars with and
-without counterparts folded.  The best accepted hypothesis of each image is
-refined by one kernel an image.
+without counterparts folded.  Hypotheses are verified in blocks, until an image
+is solved or has none left; the best one that refinement accepts counts.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class SolverOptions:
     stars: int = 24
     members: int = 10
     tolerance: float = 0.01
-    #: hypotheses of an image that are verified, best residuals first
+    #: hypotheses of an image that are verified at once, best residuals first; later blocks are larger
     hypotheses: int = 40
     min_scale: float = 0.0
     max_scale: float = 1e9
@@ -80,10 +80,10 @@ def candidates(image: DataFrame, index: DataFrame, options: SolverOptions = Solv
     probes = quads.orderings(image, options.tolerance)
     q = [quantize_x(F.col("q0")), quantize_y(F.col("q1")), quantize_x(F.col("q2")), quantize_y(F.col("q3"))]
     probes = probes.withColumns({f"q{k}": c for k, c in enumerate(q)}).withColumn("quad", F.monotonically_increasing_id())
-    codes = index.select(F.col("cx").alias("i0"), F.col("cy").alias("i1"), F.col("dx").alias("i2"), F.col("dy").alias("i3"), F.struct("a", "b", "c", "d").alias("index_quad"), *(f"v{p}{k}" for k in range(4) for p in "xyz"))
+    codes = index.select(F.col("cx").alias("i0"), F.col("cy").alias("i1"), F.col("dx").alias("i2"), F.col("dy").alias("i3"), F.struct("a", "b", "c", "d").alias("index_quad"), (F.col("checks") if "checks" in index.columns else F.array().cast("array<double>")).alias("checks"), *(f"v{p}{k}" for k in range(4) for p in "xyz"))
     d2 = sum(((F.col(f"i{k}") - F.col(f"q{k}")).cast("double") * (F.col(f"i{k}") - F.col(f"q{k}")) for k in range(1, 4)), (F.col("i0") - F.col("q0")).cast("double") * (F.col("i0") - F.col("q0")))
     pairs = range_join(codes, probes, [Axis(f"i{k}", f"q{k}", units, 2 * units) for k in range(4)], d2 <= units * units)
-    keep = ["image_id", "quad", "faintest", "swap_ab", "swap_cd", "mirrored", "ax", "ay", "bx", "by", "cx", "cy", "dx", "dy", *(f"v{p}{k}" for k in range(4) for p in "xyz")]
+    keep = ["image_id", "quad", "faintest", "checks", "swap_ab", "swap_cd", "mirrored", "ax", "ay", "bx", "by", "cx", "cy", "dx", "dy", *(f"v{p}{k}" for k in range(4) for p in "xyz")]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -92,6 +92,11 @@ def candidates(image: DataFrame, index: DataFrame, options: SolverOptions = Solv
             z = np.stack([np.where(ab, z[1], z[0]), np.where(ab, z[0], z[1]), np.where(cd, z[3], z[2]), np.where(cd, z[2], z[3])], axis=1)
             z = np.where(b["mirrored"].to_numpy(bool)[:, None], z.conj(), z)
             v = np.stack([[b[f"v{p}{k}"].to_numpy() for p in "xyz"] for k in range(4)]).transpose(2, 0, 1)
+            # where the check stars of the index quad, given relative to its A and B, are in the image
+            checks = []
+            for k, za, zb, m in zip(b["checks"], z[:, 0], z[:, 1], b["mirrored"]):
+                t = za + (zb - za) * (np.asarray(k[0::2], float) + 1j * np.asarray(k[1::2], float))
+                checks.append(np.stack([t.real, -t.imag if m else t.imag], axis=1).ravel().tolist())
             c = v.sum(axis=1)
             c /= np.linalg.norm(c, axis=1, keepdims=True)
             h = np.maximum(np.hypot(c[:, 0], c[:, 1]), 1e-15)
@@ -105,10 +110,10 @@ def candidates(image: DataFrame, index: DataFrame, options: SolverOptions = Solv
             scale = np.abs(alpha) / ARCSEC
             residual = np.sqrt((np.abs(alpha[:, None] * z + beta[:, None] - s) ** 2).mean(axis=1)) / np.abs(alpha)
             r2 = (np.abs(z - zm) ** 2).mean(axis=1)
-            out = pd.DataFrame({"image_id": b["image_id"], "quad": b["quad"], "faintest": b["faintest"], "mirrored": b["mirrored"], "px": c[:, 0], "py": c[:, 1], "pz": c[:, 2], "alpha_r": alpha.real, "alpha_i": alpha.imag, "beta_r": beta.real, "beta_i": beta.imag, "scale": scale, "residual": residual, "quad_x": zm[:, 0].real, "quad_y": np.where(b["mirrored"], -zm[:, 0].imag, zm[:, 0].imag), "quad_r2": r2})
+            out = pd.DataFrame({"image_id": b["image_id"], "quad": b["quad"], "faintest": b["faintest"], "mirrored": b["mirrored"], "px": c[:, 0], "py": c[:, 1], "pz": c[:, 2], "alpha_r": alpha.real, "alpha_i": alpha.imag, "beta_r": beta.real, "beta_i": beta.imag, "scale": scale, "residual": residual, "quad_x": zm[:, 0].real, "quad_y": np.where(b["mirrored"], -zm[:, 0].imag, zm[:, 0].imag), "quad_r2": r2, "checks": checks, "check_radius": 2 * options.position_error + options.tolerance * np.abs(z[:, 1] - z[:, 0])})
             yield out[(residual < 3 * options.position_error) & (scale >= options.min_scale) & (scale <= options.max_scale)]
 
-    return pairs.select(*keep).mapInPandas(fit, "image_id long, quad long, faintest int, mirrored boolean, px double, py double, pz double, alpha_r double, alpha_i double, beta_r double, beta_i double, scale double, residual double, quad_x double, quad_y double, quad_r2 double")
+    return pairs.select(*keep).mapInPandas(fit, "image_id long, quad long, faintest int, mirrored boolean, px double, py double, pz double, alpha_r double, alpha_i double, beta_r double, beta_i double, scale double, residual double, quad_x double, quad_y double, quad_r2 double, checks array<double>, check_radius double")
 
 
 def _pixel(ra: str = "ra", dec: str = "dec") -> tuple:
@@ -266,32 +271,58 @@ SOLUTION = "image_id long, ra double, dec double, scale double, rotation double,
 
 
 def refined(chosen: DataFrame, detections: DataFrame, sizes: DataFrame, stars: DataFrame, grid: RingGrid, options: SolverOptions = SolverOptions()) -> DataFrame:
-    """Solutions of images from their chosen hypotheses; images whose match is doubtful have none."""
+    """Solutions of images: of the chosen hypotheses of each, the one of most log-odds that the kernel
+    does not find doubtful."""
     seen = gathered(chosen, sizes, stars, grid, 0.05)
     d2 = (F.col("sx") - F.col("quad_x")) * (F.col("sx") - F.col("quad_x")) + (F.col("sy") - F.col("quad_y")) * (F.col("sy") - F.col("quad_y"))
     variance = options.position_error**2 * (1.25 + d2 / F.col("quad_r2")) + 1e-6 * d2
     refs = brightest(seen.select("image_id", "hypothesis", F.col("id").alias("star_id"), "mag", "ra", "dec", "sx", "sy", variance.alias("variance"), "best", "width", "height"), detections, 2.0)
-    refs = refs.drop("hypothesis", "mag")
+    refs = refs.drop("mag")
 
     def one(det: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        names = ["image_id", "ra", "dec", "scale", "rotation", "flipped", "pairs", "rms_px", "log_odds", "wcs", "matched"]
+        names = ["image_id", "hypothesis", "ra", "dec", "scale", "rotation", "flipped", "pairs", "rms_px", "log_odds", "wcs", "matched"]
         if not len(det) or not len(ref):
             return pd.DataFrame([], columns=names)
         found = refine_kernel(det.sort_values("rank"), ref, int(ref["width"].iloc[0]), int(ref["height"].iloc[0]), options)
-        return pd.DataFrame([{"image_id": det["image_id"].iloc[0], **found}] if found else [], columns=names)
+        return pd.DataFrame([{"image_id": det["image_id"].iloc[0], "hypothesis": det["of"].iloc[0], **found}] if found else [], columns=names)
 
-    return detections.select("image_id", "rank", "x", "y").groupBy("image_id").cogroup(refs.groupBy("image_id")).applyInPandas(one, SOLUTION)
+    lit = detections.select("image_id", "rank", "x", "y").join(chosen.select("image_id", F.col("hypothesis").alias("of")), "image_id")
+    found = lit.groupBy("image_id", "of").cogroup(refs.groupBy("image_id", "hypothesis")).applyInPandas(one, SOLUTION.replace(",", ", hypothesis int,", 1))
+    first = Window.partitionBy("image_id").orderBy(F.col("log_odds").desc(), "hypothesis")
+    return found.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn", "hypothesis")
 
 
-def solve_pass(detections: DataFrame, sizes: DataFrame, stars: DataFrame, grid: RingGrid, index: DataFrame, options: SolverOptions = SolverOptions()) -> DataFrame:
-    """One pass over all images.  ``index``: located quads; ``stars``: with ``cell`` on ``grid``."""
+def solve_pass(detections: DataFrame, sizes: DataFrame, stars: DataFrame, grid: RingGrid, index: DataFrame, options: SolverOptions = SolverOptions(), checked: bool = True) -> DataFrame:
+    """One pass over all images.  ``index``: located quads; ``stars``: with ``cell`` on ``grid``.
+
+    Every candidate whose check stars do not speak against it is verified, in blocks of rank over the
+    images still unsolved; each block is four times the one before, so the loop is short.  Not ``checked``:
+    wide fields, whose check stars are too far from the quad for its similarity.
+    """
     found = candidates(image_quads(detections, options), index, options)
     w = Window.partitionBy("image_id").orderBy("residual", "faintest", "quad", "px")
-    ranked = cut(found.withColumn("hypothesis", F.row_number().over(w)).where(F.col("hypothesis") <= options.hypotheses))
-    told = verified(ranked, detections, sizes, stars, grid, options).where("accepted")
+    ranked = cut(found.withColumn("quad", F.row_number().over(w)))
+    if checked:
+        points = F.transform(F.sequence(F.lit(0), (F.size("checks") / 2).cast("int") - 1), lambda k: F.struct(F.get("checks", 2 * k).alias("kx"), F.get("checks", 2 * k + 1).alias("ky")))
+        checks = ranked.where(F.size("checks") > 0).select("image_id", "quad", F.col("check_radius").alias("kr"), F.explode(points).alias("p")).select("image_id", "quad", "kr", "p.*")
+        ranked = checks_present(ranked, checks, detections, sizes, checks.agg(F.max("kr")).first()[0] or 5.0)
+    ranked = cut(ranked.withColumn("hypothesis", F.row_number().over(Window.partitionBy("image_id").orderBy("quad"))).drop("checks", "check_radius"))
     first = Window.partitionBy("image_id").orderBy(F.col("best").desc(), "hypothesis")
-    chosen = cut(told.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn"))
-    return refined(chosen, detections, sizes, stars, grid, options)
+    solved, low, size = None, 0, options.hypotheses
+    while solved is None or not ranked.where(F.col("hypothesis") > low).isEmpty():
+        block = cut(ranked.where((F.col("hypothesis") > low) & (F.col("hypothesis") <= low + size)))
+        told = verified(block, detections, sizes, stars, grid, options).where("accepted")
+        told = cut(told.withColumn("__rn", F.row_number().over(first)))
+        # the best accepted hypothesis of each image; where refinement rejects it, the others
+        for turn in ("__rn = 1", "__rn > 1"):
+            got = cut(refined(told.where(turn).drop("__rn"), detections, sizes, stars, grid, options))
+            solved = got if solved is None else solved.unionByName(got)
+            told = cut(told.join(got.select("image_id"), "image_id", "left_anti"))
+            ranked = ranked.join(got.select("image_id"), "image_id", "left_anti")
+            if told.isEmpty():
+                break
+        ranked, low, size = cut(ranked), low + size, size * 4
+    return solved
 
 
 def detect_images(images_: DataFrame, threshold: float = 5.0, most: int = 1000) -> DataFrame:
@@ -338,11 +369,14 @@ def star_widths(matched: DataFrame, images_: DataFrame, most: int = 50, half: in
 def checks_present(found: DataFrame, checks: DataFrame, detections: DataFrame, sizes: DataFrame, radius: float = 5.0) -> DataFrame:
     """Candidates one of whose check stars is detected, or none of whose lie in the image.
 
-    ``checks``: ``image_id, quad, kx, ky``, the pixels where check stars should be.
+    ``checks``: ``image_id, quad, kx, ky``, the pixels where check stars should be, and how near in ``kr``
+    if that is less than ``radius``.
     """
-    inside = checks.join(sizes, "image_id").where((F.col("kx") >= 0) & (F.col("ky") >= 0) & (F.col("kx") <= F.col("width") - 1) & (F.col("ky") <= F.col("height") - 1)).select("image_id", "quad", "kx", "ky")
+    if "kr" not in checks.columns:
+        checks = checks.withColumn("kr", F.lit(radius))
+    inside = checks.join(sizes, "image_id").where((F.col("kx") >= 0) & (F.col("ky") >= 0) & (F.col("kx") <= F.col("width") - 1) & (F.col("ky") <= F.col("height") - 1)).select("image_id", "quad", "kx", "ky", "kr")
     lit = detections.select(F.col("image_id").alias("__image"), "x", "y")
     d2 = (F.col("kx") - F.col("x")) * (F.col("kx") - F.col("x")) + (F.col("ky") - F.col("y")) * (F.col("ky") - F.col("y"))
-    seen = range_join(lit, inside, [Axis("x", "kx", radius), Axis("y", "ky", radius)], (F.col("image_id") == F.col("__image")) & (d2 <= radius * radius)).select("image_id", "quad").distinct()
+    seen = range_join(lit, inside, [Axis("x", "kx", radius), Axis("y", "ky", radius)], (F.col("image_id") == F.col("__image")) & (d2 <= F.col("kr") * F.col("kr"))).select("image_id", "quad").distinct()
     absent = inside.select("image_id", "quad").distinct().join(seen, ["image_id", "quad"], "left_anti")
     return found.join(absent, ["image_id", "quad"], "left_anti")

@@ -98,7 +98,7 @@ class Solver:
             if stage.focal:
                 x, y = wf.stereographic(F.col("x"), F.col("y"), (F.col("width") - 1) / 2, (F.col("height") - 1) / 2, F.lit(stage.focal))
                 rows = rows.join(sizes, "image_id").withColumns({"x": x, "y": y}).drop("width", "height")
-            got = solve.solve_pass(rows, sizes, self.stars, self.grid, self.index, options)
+            got = solve.solve_pass(rows, sizes, self.stars, self.grid, self.index, options, stage.focal is None)
             if hints is not None:
                 got = within(got, attempts(hints))
             got = cut(got.withColumn("stage", F.lit(stage.name)))

@@ -44,6 +44,41 @@ def test_golden_fields(spark, index):
         assert np.hypot(x - 800, y - 600)[0] < 0.3
 
 
+def few_images(spark, stars, cases=(0, 4)):
+    det = spark.createDataFrame(pd.concat([synthetic.star_list(stars, synthetic.true_wcs(*synthetic.CASES[i]), i) for i in cases]))
+    return det, det.select("image_id").distinct().selectExpr("image_id", "1600 as width", "1200 as height")
+
+
+def test_hypotheses_beyond_the_first_block_are_verified(spark, index, monkeypatch):
+    stars, in_cells, grid, located = index
+    det, sizes = few_images(spark, stars)
+    real = solve.candidates
+
+    def behind_false_ones(*args):
+        """All candidates, behind 60 an image of better residual that lie elsewhere."""
+        found = real(*args)
+        false = found.withColumns({"px": -found.px, "py": -found.py, "pz": -found.pz, "residual": found.residual * 0})
+        return found.unionByName(false.dropDuplicates(["image_id"]).crossJoin(spark.range(60)).drop("id"))
+
+    monkeypatch.setattr(solve, "candidates", behind_false_ones)
+    got = solve.solve_pass(det, sizes, in_cells, grid, located).collect()
+    assert sorted(r.image_id for r in got) == [0, 4]
+
+
+def test_next_hypothesis_when_refinement_rejects_the_best(spark, index, monkeypatch):
+    stars, in_cells, grid, located = index
+    det, sizes = few_images(spark, stars)
+    real, calls = solve.refined, []
+
+    def rejecting(*args):
+        calls.append(1)
+        return real(*args).where("true" if len(calls) > 1 else "false")
+
+    monkeypatch.setattr(solve, "refined", rejecting)
+    got = solve.solve_pass(det, sizes, in_cells, grid, located).collect()
+    assert sorted(r.image_id for r in got) == [0, 4]
+
+
 def test_detected_images_and_star_widths(spark):
     rng = np.random.default_rng(8)
     yy, xx = np.mgrid[:128, :160]
