@@ -29,8 +29,9 @@ from skyquilt.session import cut
 
 @dataclass(frozen=True)
 class SolverOptions:
-    #: detections that make quads, and members of a quad's circle
-    stars: int = 24
+    #: detections that make quads, at first and at full depth, and members of a quad's circle
+    stars: int = 32
+    most_stars: int = 100
     members: int = 10
     tolerance: float = 0.01
     #: hypotheses of an image that are verified at once, best residuals first; later blocks are larger
@@ -82,7 +83,8 @@ def candidates(image: DataFrame, index: DataFrame, options: SolverOptions = Solv
     probes = probes.withColumns({f"q{k}": c for k, c in enumerate(q)}).withColumn("quad", F.monotonically_increasing_id())
     codes = index.select(F.col("cx").alias("i0"), F.col("cy").alias("i1"), F.col("dx").alias("i2"), F.col("dy").alias("i3"), F.struct("a", "b", "c", "d").alias("index_quad"), (F.col("checks") if "checks" in index.columns else F.array().cast("array<double>")).alias("checks"), *(f"v{p}{k}" for k in range(4) for p in "xyz"))
     d2 = sum(((F.col(f"i{k}") - F.col(f"q{k}")).cast("double") * (F.col(f"i{k}") - F.col(f"q{k}")) for k in range(1, 4)), (F.col("i0") - F.col("q0")).cast("double") * (F.col("i0") - F.col("q0")))
-    pairs = range_join(codes, probes, [Axis(f"i{k}", f"q{k}", units, 2 * units) for k in range(4)], d2 <= units * units)
+    # sizes of what Python makes are not known to Spark, which would broadcast any number of rows
+    pairs = range_join(codes.hint("merge"), probes.hint("merge"), [Axis(f"i{k}", f"q{k}", units, 2 * units) for k in range(4)], d2 <= units * units)
     keep = ["image_id", "quad", "faintest", "checks", "swap_ab", "swap_cd", "mirrored", "ax", "ay", "bx", "by", "cx", "cy", "dx", "dy", *(f"v{p}{k}" for k in range(4) for p in "xyz")]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -375,8 +377,8 @@ def checks_present(found: DataFrame, checks: DataFrame, detections: DataFrame, s
     if "kr" not in checks.columns:
         checks = checks.withColumn("kr", F.lit(radius))
     inside = checks.join(sizes, "image_id").where((F.col("kx") >= 0) & (F.col("ky") >= 0) & (F.col("kx") <= F.col("width") - 1) & (F.col("ky") <= F.col("height") - 1)).select("image_id", "quad", "kx", "ky", "kr")
-    lit = detections.select(F.col("image_id").alias("__image"), "x", "y")
+    lit = detections.select("image_id", "x", "y")
     d2 = (F.col("kx") - F.col("x")) * (F.col("kx") - F.col("x")) + (F.col("ky") - F.col("y")) * (F.col("ky") - F.col("y"))
-    seen = range_join(lit, inside, [Axis("x", "kx", radius), Axis("y", "ky", radius)], (F.col("image_id") == F.col("__image")) & (d2 <= F.col("kr") * F.col("kr"))).select("image_id", "quad").distinct()
-    absent = inside.select("image_id", "quad").distinct().join(seen, ["image_id", "quad"], "left_anti")
-    return found.join(absent, ["image_id", "quad"], "left_anti")
+    seen = range_join(lit.hint("merge"), inside.hint("merge"), [Axis("x", "kx", radius), Axis("y", "ky", radius)], d2 <= F.col("kr") * F.col("kr"), ["image_id"]).select("image_id", "quad").distinct()
+    absent = inside.select("image_id", "quad").distinct().join(seen.hint("merge"), ["image_id", "quad"], "left_anti")
+    return found.join(absent.hint("merge"), ["image_id", "quad"], "left_anti")

@@ -24,7 +24,7 @@ class Stage:
 
     name: str
     keep: str = "all"
-    stars: int = 24
+    stars: int = 32
     tolerance: float = 0.004
     focal: float | None = None
 
@@ -45,9 +45,10 @@ def attempts(hints: DataFrame) -> DataFrame:
 def stages(options: SolverOptions = SolverOptions(), wide_diagonal_px: float | None = None) -> list[Stage]:
     """Distinct stages in order: compact stars, all, concentrated, more stars, a loose tolerance, and
     the focal lengths of wide lenses."""
-    out = [Stage("compact", "compact", options.stars), Stage("all", "all", options.stars), Stage("concentrated", "concentrated", options.stars), Stage("more", "compact", options.stars * 3 // 2), Stage("loose", "compact", options.stars, options.tolerance)]
+    few, most = options.stars, options.most_stars
+    out = [Stage("compact", "compact", few), Stage("all", "all", few), Stage("concentrated", "concentrated", most), Stage("more", "compact", most), Stage("loose", "compact", max(20, most // 2), options.tolerance)]
     if wide_diagonal_px:
-        out += [Stage(f"wide {f:.0f}", "compact", options.stars, options.tolerance, f) for f in wf.wide_focals(wide_diagonal_px)]
+        out += [Stage(f"wide {f:.0f}", "compact", most, options.tolerance, f) for f in wf.wide_focals(wide_diagonal_px)]
     return list(dict.fromkeys(out))
 
 

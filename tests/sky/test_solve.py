@@ -6,6 +6,7 @@ import pytest
 
 from skyquilt.operators import pyramid, quads, solve
 from skyquilt.operators.grid import RingGrid
+from skyquilt.plans import solver as plan
 from tests.sky import synthetic
 
 SIZES = [16.0, 16 / math.sqrt(2), 8.0, 8 / math.sqrt(2)]
@@ -79,6 +80,25 @@ def test_next_hypothesis_when_refinement_rejects_the_best(spark, index, monkeypa
     assert sorted(r.image_id for r in got) == [0, 4]
 
 
+def test_depth_of_stages():
+    assert [(s.name, s.stars) for s in plan.stages()] == [("compact", 32), ("all", 32), ("concentrated", 100), ("more", 100), ("loose", 50)]
+    assert {s.stars for s in plan.stages(wide_diagonal_px=2000.0) if s.focal} == {100}
+
+
+def test_image_whose_brightest_detections_are_no_stars(spark, index):
+    stars, in_cells, grid, located = index
+    det = synthetic.star_list(stars, synthetic.true_wcs(*synthetic.CASES[0]), 0)
+    rng = np.random.default_rng(5)
+    knots = pd.DataFrame({"image_id": 0, "rank": 0, "x": rng.uniform(0, 1600, 40), "y": rng.uniform(0, 1200, 40)})
+    det = pd.concat([knots, det], ignore_index=True)
+    det = spark.createDataFrame(det.assign(rank=np.arange(len(det))))
+    sizes = det.select("image_id").distinct().selectExpr("image_id", "1600 as width", "1200 as height")
+    solver = object.__new__(plan.Solver)
+    solver.__dict__.update(stars=in_cells, grid=grid, index=located, options=solve.SolverOptions())
+    got = solver.solve(det, sizes).collect()
+    assert [(r.image_id, round(r.scale)) for r in got] == [(0, synthetic.CASES[0][2])]
+
+
 def test_detected_images_and_star_widths(spark):
     rng = np.random.default_rng(8)
     yy, xx = np.mgrid[:128, :160]
