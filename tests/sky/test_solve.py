@@ -99,6 +99,11 @@ def test_image_whose_brightest_detections_are_no_stars(spark, index):
     assert [(r.image_id, round(r.scale)) for r in got] == [(0, synthetic.CASES[0][2])]
 
 
+def test_every_nation_gives_a_field(spark):
+    fields = plan._fields(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.image_id for r in fields) == list(range(25)) and all(abs(r.w.crval_dec) <= 90 for r in fields)
+
+
 def test_detected_images_and_star_widths(spark):
     rng = np.random.default_rng(8)
     yy, xx = np.mgrid[:128, :160]
