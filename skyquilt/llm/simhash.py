@@ -12,16 +12,20 @@ visitors, 64 bits against 64 bits, so no link is missed and none is made up.
 Scale: equal fingerprints are one, so copies cost nothing.  Comparisons return
 a spanning forest of the links of an anchor instead of all pairs, and large
 anchors are walked breadth first, so a group of near copies costs about its
-size.  Anchors are met in a sorted stream: memory holds one anchor.  With three
-segments an anchor gets about 2.2e-4 of all distinct fingerprints; from
-``TWO_SEGMENTS`` of them on, two segments with 2**28 anchors (344 copies each)
-keep anchors small instead.  Both find every link.  Components of
-the forest are found by :mod:`skyquilt.llm.components`.
+size.  Anchors are met in a sorted stream: memory holds one anchor.  An anchor
+with more than ``RESIDENTS`` residents is dealt into parts, each with a share
+of the residents and all visitors, so that a large family is no single task's
+work.  With three segments an anchor gets about 2.2e-4 of all distinct
+fingerprints; from ``TWO_SEGMENTS`` of them on, two segments with 2**28 anchors
+(344 copies each) keep anchors small instead.  Both find every link.
+Components of the forest are found by :mod:`skyquilt.llm.components`.
 
 Defined results: null and empty texts have fingerprint 0, linked like any
-other; rows with a null id get the component of their fingerprint, but give no
-component its name (null if no id is there); repeated rows get a row each; no
-rows give none; extra columns are ignored, or kept by :func:`one_of_each`.
+other; rows with a null id link like others and get the component of their
+fingerprint, but give no component its name (null if no id is there); ids of
+any type that Spark can order are kept as they are; repeated rows get a row
+each; no rows give none; extra columns are ignored, or kept by
+:func:`one_of_each`, which leaves one row of each component.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyquilt.llm.components import components
 from skyquilt.llm.words import Words, slices
@@ -46,6 +51,22 @@ DISTANCE = 4
 TWO_SEGMENTS = 1 << 26
 #: Pairs compared at once; an anchor with more is walked breadth first.
 PAIRS = 1 << 21
+#: Shingles hashed at once, and most residents of an anchor that meet in one task.
+RUN, RESIDENTS = 1 << 18, 1 << 14
+
+
+#: The bits of a byte, the highest first, as the bytes of one number: up to 255 such numbers add up without a carry.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
+
+
+def _ones(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each bit, the highest first, is set in consecutive groups of ``n`` hashes."""
+    blocks = -(-n // 255)
+    first = np.cumsum(blocks) - blocks
+    start = np.repeat(np.cumsum(n) - n, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+    parts = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+    sums = np.stack([np.add.reduceat(_BITS[parts[:, k]], start) for k in range(8)], axis=1)
+    return np.add.reduceat(sums.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int64)
 
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -58,19 +79,24 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     at = np.zeros(n + 1, np.int64)
     np.cumsum(size + 1, out=at[1:])
     joined[np.arange(int(size.sum())) + np.repeat(np.arange(n), size)] = w.data[w.solid]
-    joined = joined.tobytes()
-    some = w.counts > 0
-    count = np.where(some, np.maximum(w.counts - shingle + 1, 1), 0)
+    raw = joined.tobytes()
+    count = np.where(w.counts > 0, np.maximum(w.counts - shingle + 1, 1), 0)
     first = np.zeros(w.n + 1, np.int64)
     np.cumsum(count, out=first[1:])
-    begin = np.arange(first[-1]) - np.repeat(first[:-1], count) + np.repeat(w.first[:-1], count)
-    last = np.minimum(begin + shingle, np.repeat(w.first[1:], count))
-    digest, out = xxhash.xxh64_intdigest, np.zeros(w.n, np.uint64)
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(at[begin].tolist(), (at[last] - 1).tolist())), np.uint64, len(begin))
-    if len(h):
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first[:-1][some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > count[some][:, None], axis=1).view(">u8").ravel()
+    ones, out = np.zeros((w.n, 64), np.int64), np.zeros(w.n, np.uint64)
+    for k in range(0, int(first[-1]), RUN):
+        # the shingles k to end, of the texts low to high
+        end = min(k + RUN, int(first[-1]))
+        low, high = int(np.searchsorted(first, k, "right")) - 1, int(np.searchsorted(first, end))
+        n = np.minimum(first[low + 1 : high + 1], end) - np.maximum(first[low:high], k)
+        begin = np.arange(k, end) - np.repeat(first[low:high], n) + np.repeat(w.first[low:high], n)
+        last = np.minimum(begin + shingle, np.repeat(w.first[low + 1 : high + 1], n))
+        spans = zip(at[begin].tolist(), (at[last] - 1).tolist())
+        h = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in spans), np.uint64, end - k)
+        some = np.flatnonzero(n)
+        ones[low + some] += _ones(h, n[some])
+    some = count > 0
+    out[some] = np.packbits(2 * ones[some] > count[some][:, None], axis=1).view(">u8").ravel()
     return out
 
 
@@ -125,7 +151,7 @@ class Segment:
             if mine.any():
                 anchors.append((x[mine][:, None] ^ masks[None, :]).ravel())
                 who.append(np.repeat(f[mine], len(masks)))
-        return np.concatenate(anchors) | np.uint64(self.number << 40), np.concatenate(who)
+        return np.concatenate(anchors) | np.uint64(self.number << _SEGMENT), np.concatenate(who)
 
 
 def cover(segments: int, distance: int = DISTANCE) -> list[Segment]:
@@ -153,31 +179,42 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def walk(f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of distinct fingerprints, breadth first: each is compared with those not yet reached."""
-    left, us, vs = f, [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            near = np.bitwise_count(left ^ (q := queue.pop())) <= distance
-            if near.any():
-                found = left[near]
-                us.append(found)
-                vs.append(np.full(len(found), q))
-                queue += list(found)
-                left = left[~near]
+def walk(residents: np.ndarray, visitors: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, breadth first, of links that have a resident at one end: what is reached is
+    compared with the residents not yet reached, and a resident with such visitors too."""
+    us, vs = [], []
+    while len(residents):
+        queue, residents = [(residents[0], True)], residents[1:]
+        while queue:
+            q, home = queue.pop()
+            near = np.bitwise_count(residents ^ q) <= distance
+            found, residents = residents[near], residents[~near]
+            queue += [(x, True) for x in found]
+            if home and len(visitors):
+                near = np.bitwise_count(visitors ^ q) <= distance
+                more, visitors = visitors[near], visitors[~near]
+                queue += [(x, False) for x in more]
+                found = np.concatenate([found, more])
+            us.append(found)
+            vs.append(np.full(len(found), q))
     none = np.zeros(0, np.uint64)
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
-def compare(anchor: np.ndarray, f: np.ndarray, cells: list[Segment], distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints that are sorted by anchor, as a forest."""
-    number = (anchor >> np.uint64(40)).astype(np.int64)
-    at = anchor & np.uint64((1 << 40) - 1)
+#: Places of the segment's number and of the part of a dealt anchor in an anchor's number.
+_SEGMENT, _PART = 40, 44
+
+
+def compare(anchor: np.ndarray, f: np.ndarray, own: np.ndarray, cells: list[Segment], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among fingerprints that are sorted by anchor, as a forest; ``own``: it may count as a
+    resident of this part."""
+    number = (anchor >> np.uint64(_SEGMENT) & np.uint64(15)).astype(np.int64)
+    at = anchor & np.uint64((1 << _SEGMENT) - 1)
     resident = np.zeros(len(f), bool)
     for s in cells:
         mine = number == s.number
         resident[mine] = s.home(s.value(f[mine])) == at[mine]
+    resident &= own
     begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     size = np.diff(np.r_[begin, len(f)])
     group = np.repeat(np.arange(len(begin)), size)
@@ -191,7 +228,8 @@ def compare(anchor: np.ndarray, f: np.ndarray, cells: list[Segment], distance: i
             vs.append(b)
 
     for g in np.flatnonzero(pairs > PAIRS):
-        keep(*walk(np.unique(f[begin[g] : begin[g] + size[g]]), distance))
+        here = slice(begin[g], begin[g] + size[g])
+        keep(*walk(f[here][resident[here]], f[here][~resident[here]], distance))
     rows = np.flatnonzero(resident & (size[group] > 1) & (pairs[group] <= PAIRS))
     total = np.cumsum(size[group[rows]])
     done = 0
@@ -221,21 +259,28 @@ def links(fps: DataFrame, segments: int, distance: int = DISTANCE) -> DataFrame:
                     anchor, who = s.visits(f[k : k + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(who.view(np.int64))], names=["anchor", "fp"])
 
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = batch.column(0).to_numpy().view(np.uint64)
+            for s in cells:
+                yield pa.RecordBatch.from_arrays([pa.array((s.home(s.value(f)) | np.uint64(s.number << _SEGMENT)).view(np.int64))], names=["anchor"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
-            anchor, f = (np.concatenate(x) for x in zip(*held))
+            anchor, f, own = (np.concatenate(x) for x in zip(*held))
             to = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1]))
-            held, rows = [(anchor[to:], f[to:])], len(anchor) - to
+            held, rows = [(anchor[to:], f[to:], own[to:])], len(anchor) - to
             if to:
-                u, v = compare(anchor[:to], f[:to], cells, distance)
+                u, v = compare(anchor[:to], f[:to], own[:to], cells, distance)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)))
+            own = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else np.ones(batch.num_rows, bool)
+            held.append((*(batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)), own))
             rows += batch.num_rows
             if rows >= 1 << 18:
                 yield from flush(False)
@@ -243,33 +288,60 @@ def links(fps: DataFrame, segments: int, distance: int = DISTANCE) -> DataFrame:
             yield from flush(True)
 
     copies = fps.select("fp").mapInArrow(replicate, "anchor long, fp long")
+    large = cut(fps.select("fp").mapInArrow(homes, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RESIDENTS))
+    if not large.isEmpty():
+        parts = large.select("anchor", F.ceil(F.col("n") / RESIDENTS).alias("parts"))
+        copies = copies.join(parts, "anchor", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))) == F.col("part")
+        copies = copies.select((F.col("anchor") + F.shiftleft(F.col("part").cast("long"), _PART)).alias("anchor"), "fp", own.alias("own"))
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row; the id is the smallest that links reach."""
+def _classes(rows: DataFrame, distance: int, segments: int | None, shingle: int) -> DataFrame:
+    """``rows`` (``text`` and ``doc_id`` first) without text, with ``fp, root, component_id``."""
+    kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1)).view(np.int64))], names=["doc_id", "fp"])
+                fp = fingerprints(part.column("text"), shingle)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(fp.view(np.int64))], names=[*(f.name for f in kept), "fp"])
 
-    fps = cut(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, fp long"))
+    fps = cut(rows.mapInArrow(sign, T.StructType([*kept, T.StructField("fp", T.LongType())])))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
     segments = segments or (3 if nodes.count() < TWO_SEGMENTS else 2)
-    roots = components(links(nodes.where("node is not null"), segments, distance))
+    roots = components(links(nodes, segments, distance))
     linked = roots.withColumnRenamed("node", "fp").join(nodes, "fp")
     least = linked.groupBy("root").agg(F.min("node").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    ids = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "node").alias("component_id")))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(least, "root").select("fp", "root", "component_id")
+    ids = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("node")).otherwise(F.col("component_id")).alias("component_id")))
+    return fps.join(ids, "fp")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; rows without id stay."""
-    found = near_duplicates(docs, text, doc, distance)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc] == gone["__gone"], "left_anti")
+def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", distance: int = DISTANCE, segments: int | None = None, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, fp, component_id`` of each row; the id is the smallest that links reach."""
+    rows = docs.select(F.col(text).alias("text"), F.col(doc).alias("doc_id"))
+    return _classes(rows, distance, segments, shingle).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", distance: int = DISTANCE, segments: int | None = None, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id.
+
+    Rows with a null id come last; of rows with one id, the row of smallest hash over all columns
+    stays, and of rows that are equal in all columns one.
+    """
+    #: two hashes of all columns say which row it is; what else is in the row has no name of its own
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(row.alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("k1"), F.xxhash64(F.lit(1), *(F.col(f"`{c}`") for c in docs.columns)).alias("k2"))
+    rows = keyed.select(F.col("row")[text].alias("text"), F.col("row")[doc].alias("doc_id"), "k1", "k2")
+    classes = _classes(rows, distance, segments, shingle).groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "n")).alias("f")).select("f.k1", "f.k2", "f.n")
+    first = cut(first)
+    kept = keyed.join(first.where("n = 1"), ["k1", "k2"], "left_semi").select("row")
+    again = first.where("n > 1")
+    if not again.isEmpty():
+        kept = kept.union(keyed.join(again, ["k1", "k2"], "left_semi").select("row").distinct())
+    return kept.select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

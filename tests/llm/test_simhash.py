@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from skyquilt.llm import simhash
 
@@ -55,6 +56,36 @@ def test_fingerprints():
     assert len(simhash.fingerprints(pa.array([], pa.string()))) == 0
 
 
+def test_runs_of_shingles(monkeypatch):
+    texts = [*texts_of(random.Random(5)), "v w x y z " * 900]
+    whole = simhash.fingerprints(pa.array(texts, pa.string()))
+    monkeypatch.setattr(simhash, "RUN", 37)
+    assert (simhash.fingerprints(pa.array(texts, pa.string())) == whole).all()
+    assert int(whole[-1]) == brute_fingerprint(texts[-1])
+
+
+def test_walk_keeps_components():
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    f = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(40)})
+    home = [rng.random() < 0.3 for _ in f]
+    u, v = simhash.walk(np.array([x for x, h in zip(f, home) if h], np.uint64), np.array([x for x, h in zip(f, home) if not h], np.uint64), 4)
+    roots = []
+    for links in ([(int(a), int(b)) for a, b in zip(u, v)], [(a, b) for a, h in zip(f, home) for b in f if h and a != b and (a ^ b).bit_count() <= 4]):
+        root = {x: x for x in f}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        roots.append([find(x) for x in f])
+    assert roots[0] == roots[1]
+
+
 def test_pairs_meet_at_an_anchor():
     rng = np.random.default_rng(2)
     f = rng.integers(0, 1 << 63, 400, np.uint64)
@@ -85,8 +116,9 @@ def test_links_against_all_pairs(spark, monkeypatch):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
     want = brute_components(fps)
-    for segments, pairs in ((3, 1 << 21), (3, 500), (2, 1 << 21)):
+    for segments, pairs, residents in ((3, 1 << 21, 1 << 14), (3, 500, 1 << 14), (3, 500, 20), (2, 1 << 21, 1 << 14)):
         monkeypatch.setattr(simhash, "PAIRS", pairs)
+        monkeypatch.setattr(simhash, "RESIDENTS", residents)
         u, v = zip(*[(r.u, r.v) for r in simhash.links(df, segments).collect()])
         place = {f: i for i, f in enumerate(signed)}
         root = list(range(len(fps)))
@@ -118,3 +150,29 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect()]
     assert [c for _, c in got].count(5) == 3 and [c for _, c in got].count(None) == 1
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_null_ids_link_others(spark):
+    """What has no id of its own may lie between two that are too far apart."""
+    df = spark.createDataFrame([("b", "255"), (None, "15"), ("a", "0")], "doc_id string, text string")
+    fps = df.select(F.col("text").cast("long").alias("fp"))
+    got = simhash.components(simhash.links(fps, 3)).collect()
+    assert {r.root for r in got} == {0} and len(got) == 3
+
+
+def test_one_row_of_each(spark):
+    rows = [(1, "p q r s t", "x"), (5, "p q r s t", "x"), (5, "other words are here now", "x"), (7, "other words are here now", "y"), (7, "other words are here now", "y"), (None, "nobody knows its name at all", None), (None, "nobody knows its name at all", None), (9, "alone in the world it is", "z"), (9, "alone in the world it is", "z"), (None, "p q r s t", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = simhash.one_of_each(df)
+    assert got.columns == ["doc_id", "text", "row"]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [rows[0], rows[2], rows[5], rows[7]]))
+    named = simhash.one_of_each(df.select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("k1")), "k1", "name").collect()
+    assert sorted(str(r.name) for r in named) == ["1", "5", "9", "None"]
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    words = [f"w{i % 977}" for i in range(400_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1]) + " end"), (3, "short one")], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    assert got[1].fp & ((1 << 64) - 1) == brute_fingerprint(" ".join(words)) and got[2].component_id == 1 and got[3].component_id == 3
