@@ -37,13 +37,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyquilt.llm.components import components
 from skyquilt.llm.words import Words, slices
+from skyquilt.llm.xx import xxh64
 from skyquilt.session import cut, table
 
 SHINGLE = 4
@@ -79,7 +79,6 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     at = np.zeros(n + 1, np.int64)
     np.cumsum(size + 1, out=at[1:])
     joined[np.arange(int(size.sum())) + np.repeat(np.arange(n), size)] = w.data[w.solid]
-    raw = joined.tobytes()
     count = np.where(w.counts > 0, np.maximum(w.counts - shingle + 1, 1), 0)
     first = np.zeros(w.n + 1, np.int64)
     np.cumsum(count, out=first[1:])
@@ -91,8 +90,7 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         n = np.minimum(first[low + 1 : high + 1], end) - np.maximum(first[low:high], k)
         begin = np.arange(k, end) - np.repeat(first[low:high], n) + np.repeat(w.first[low:high], n)
         last = np.minimum(begin + shingle, np.repeat(w.first[low + 1 : high + 1], n))
-        spans = zip(at[begin].tolist(), (at[last] - 1).tolist())
-        h = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in spans), np.uint64, end - k)
+        h = xxh64(joined, at[begin], at[last] - 1)
         some = np.flatnonzero(n)
         ones[low + some] += _ones(h, n[some])
     some = count > 0

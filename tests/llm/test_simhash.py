@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from skyquilt.llm import simhash
+from skyquilt.llm.xx import xxh64
 
 SCHEMA = "doc_id long, text string, fp string, node string, anchor string"
 
@@ -64,6 +65,15 @@ def test_runs_of_shingles(monkeypatch):
     assert int(whole[-1]) == brute_fingerprint(texts[-1])
 
 
+def test_xxh64():
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 20_000, dtype=np.uint8)
+    start = rng.integers(0, 9_000, 3_000)
+    end = start + np.where(rng.random(3_000) < 0.01, rng.integers(4_000, 9_000, 3_000), rng.integers(0, 200, 3_000))
+    raw = data.tobytes()
+    assert [int(x) for x in xxh64(data, start, end)] == [xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(start, end)]
+
+
 def test_walk_keeps_components():
     rng = random.Random(12)
     base = [rng.getrandbits(64) for _ in range(8)]
