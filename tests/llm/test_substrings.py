@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from skyquilt.llm import substrings
 
 
@@ -90,5 +92,28 @@ def test_longest_repeats(spark, monkeypatch):
     assert substrings.longest_repeats(df.limit(0)).count() == 0
 
 
+def test_lengths_double():
+    assert substrings.lengths(13) == [4, 8, 13] and substrings.lengths(6) == [3, 6] and substrings.lengths(3) == [3] and substrings.lengths(50) == [4, 8, 16, 32, 50]
+
+
+def test_collisions_of_one_hash(spark, monkeypatch):
+    """With first hashes that agree for all windows the second ones still tell them apart."""
+    rows = [(i, t) for i, (_, t) in enumerate(rows_of())][:40]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    d = substrings.Distinct(np.array([7, 7, 9, 7], np.uint64), np.array([4, 3, 2, 1]), np.array([1, 2, 1, 1], np.uint64))
+    assert d.values.tolist() == [7, 7, 9] and d.least.tolist() == [1, 3, 2] and d.of.tolist() == [0, 1, 2, 0]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substrings.dedup_substrings(df, 5).collect())
+    assert got == brute(rows, 5)
+
+
+def test_ids_that_are_no_integers(spark):
+    rows = [(f"id{i:03d}" if i % 9 else None, t) for i, (_, t) in enumerate(rows_of()[:60])]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    place = {x: i for i, x in enumerate(sorted(i for i, _ in rows if i))}
+    want = brute([(place.get(i), t) for i, t in rows], 13)
+    name = {str(v): k for k, v in place.items()} | {"None": "None"}
+    assert got == sorted((name[i], *rest) for i, *rest in want)
+
+
 def test_no_rows(spark):
     assert substrings.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
