@@ -94,6 +94,36 @@ def test_shard_quotas_are_sainte_lague_awards(spark):
         assert {s: got.get((shard, s), 0) for s in "abcd"} == {s: part.count(s) for s in "abcd"}
 
 
+def test_order_of_rows_does_not_matter(spark):
+    """Repeated and null ids, and texts of one id."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, None, 1, 2, i]), "w " * rng.choice([1, 30, 64, 100, 900]) + str(rng.randint(0, 40)), rng.choice("ab")) for i in range(200)]
+    got = [sorted(map(str, mixing.mix(docs_of(spark, some).repartition(n)).collect())) for some, n in ((rows, 1), (rows[::-1], 3), (rng.sample(rows, len(rows)), 7))]
+    assert got[0] == got[1] == got[2]
+
+
+def test_shards_take_their_quotas(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(0, 400), rng.choice("abc")) for i in range(200)]
+    src, target, _ = brute(rows)
+    goal = mixing.targets(mixing.sized(docs_of(spark, rows)))
+    quota = {(r.shard, r.source): r.blocks for r in mixing.quotas(goal).collect()}
+    taken, source = defaultdict(int), {i: s for i, _, s in rows}
+    for r in mixing.mix(docs_of(spark, rows)).collect():
+        assert r.taken == sum(p.words for p in r.parts) and [p.shard for p in r.parts] == sorted({p.shard for p in r.parts})
+        for p in r.parts:
+            taken[p.shard, source[r.doc_id]] += p.words
+    for key, n in quota.items():  # but for what ends at twice the source's size
+        assert 0 <= n * mixing.BLOCK - taken[key] < mixing.BLOCK or key[0] == mixing.SHARDS - 1
+
+
+def test_mixed_rows(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, " ", "b"), (4, "w " * 500, "a"), (4, "v " * 500, "a"), (None, "u " * 500, "b"), (5, "t " * 500, None), (5, "t " * 500, None)]
+    got = [tuple(r)[:3] for r in mixing.mixed(docs_of(spark, rows)).collect()]
+    assert set(got) <= set(rows[3:]) and max(got.count(r) for r in rows) <= 4
+    assert mixing.mixed(docs_of(spark, rows[:3])).count() == 0 and mixing.mixed(docs_of(spark, rows).limit(0)).count() == 0
+
+
 def test_edge_rows(spark):
     rows = [(None, "a b", None), (None, "a b", None), (1, None, "x"), (2, "", "x"), (3, "c " * 5000, "y")]
     got = mixing.mix(docs_of(spark, rows)).collect()
