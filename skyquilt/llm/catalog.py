@@ -24,6 +24,7 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op3_substring_dedup": substrings.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op6_secret_scans": secrets.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
     "op10_url_filters": urls.ORACLE,
