@@ -36,8 +36,6 @@ class QualityRules:
     #: n-gram length -> most percent of characters inside n-grams found twice or more
     coverage: dict[int, int] = field(default_factory=lambda: {4: 60, 6: 40, 8: 30, 10: 25})
     line_percent: int = 30
-    #: symbols for each 100 words
-    symbol_percent: int = 50
 
 
 _SYMBOL = np.zeros(256, bool)
@@ -109,7 +107,6 @@ def measure(texts: pa.Array, rules: QualityRules) -> dict[str, np.ndarray]:
             out["n_repeat_words"] = per_doc(inside, w.first)
     out["base_failed"] = (out["n_words"] < rules.min_words) | (100 * out["n_repeat_words"] > rules.base_percent * out["n_words"])
     bad = 100 * out["dup_line_chars"] > rules.line_percent * out["word_chars"]
-    bad |= 100 * out["n_symbols"] > rules.symbol_percent * out["n_words"]
     for n, most in rules.coverage.items():
         bad |= 100 * out[f"dup_chars_{n}"] > most * out["word_chars"]
     out["kept"] = ~(out["base_failed"] | bad)
@@ -169,7 +166,7 @@ def _coverage_sql(n: int) -> str:
 def oracle(rules: QualityRules = QualityRules()) -> str:
     """The same rows in DuckDB SQL, by exact windows of words."""
     lengths = sorted({*rules.coverage, rules.base_window})
-    bad = " OR ".join([f"100 * coalesce(c{n}.chars, 0) > {m} * word_chars" for n, m in sorted(rules.coverage.items())] + [f"100 * dup_line_chars > {rules.line_percent} * word_chars", f"100 * n_symbols > {rules.symbol_percent} * n_words"])
+    bad = " OR ".join([f"100 * coalesce(c{n}.chars, 0) > {m} * word_chars" for n, m in sorted(rules.coverage.items())] + [f"100 * dup_line_chars > {rules.line_percent} * word_chars"])
     return f"""WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),

@@ -22,7 +22,7 @@ def brute(text, rules):
                 dup_chars += sum(map(len, re.findall(WORD, line)))
             seen.add(line)
     out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": dup, "dup_line_chars": dup_chars}
-    bad = 100 * dup_chars > rules.line_percent * out["word_chars"] or 100 * out["n_symbols"] > rules.symbol_percent * len(w)
+    bad = 100 * dup_chars > rules.line_percent * out["word_chars"]
     for n in {*rules.coverage, rules.base_window}:
         grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
         times, inside = Counter(grams), set()
