@@ -1,8 +1,9 @@
 """Chat formatting by relational operations only.
 
 The rows of a conversation are collected as structs and sorted by turn;
-adjacent turns of one role are merged into one message by an array aggregation;
-messages are concatenated around control strings.  Control strings inside a
+adjacent turns of one role are merged into one message, a slice of the sorted
+array aggregated into one text; messages are concatenated with their control
+strings.  Control strings inside a
 text are escaped with a backslash, so formatting is reversible: :func:`parse`
 gives back every turn and every text that a loss is taken on.
 
@@ -41,26 +42,50 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     texts in it (code points, end exclusive)."""
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     rows = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
-    #: a turn opens a message unless the turn before has its role; the last of a message closes it
     role_at = lambda i: F.get(F.col("turns"), i)["role"]
-    spoken = lambda r: r == F.lit(speaker)
-
-    def piece(x: Column, i: Column) -> Column:
-        head = F.when((i > 0) & (role_at(i - 1) == x["role"]), F.lit(JOIN)).otherwise(F.concat(F.when(spoken(x["role"]), F.lit(SAY)).otherwise(F.lit(OPEN)), escape(x["role"]), F.lit(ROLE)))
-        tail = F.when(role_at(i + 1) == x["role"], F.lit("")).otherwise(F.when(spoken(x["role"]), F.lit(END)).otherwise(F.lit(CLOSE)))
-        return F.struct(head.alias("head"), escape(x["text"]).alias("body"), tail.alias("tail"), spoken(x["role"]).alias("loss"))
-
-    pieces = rows.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    text_of = lambda x: F.concat(x["head"], x["body"], x["tail"])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["head"])
-        end = begin + F.length(x["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + F.length(x["tail"])).alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return pieces.select("conv_id", F.array_join(F.transform("pieces", text_of), "").alias("formatted"), F.aggregate("pieces", start, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    # a message begins where the role changes; its turns are a slice of the conversation, so merging is linear
+    first = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role_at(i) != role_at(i - 1)))
+    rows = rows.withColumn("first", first)
+
+    def message(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("first", k + 1), F.size("turns"))
+        spoken = role_at(i) == F.lit(speaker)
+        return F.struct(
+            F.concat(F.when(spoken, F.lit(SAY)).otherwise(F.lit(OPEN)), escape(role_at(i)), F.lit(ROLE)).alias("head"),
+            F.transform(F.slice("turns", i + 1, end - i), lambda x: escape(x["text"])).alias("bodies"),
+            F.when(spoken, F.lit(END)).otherwise(F.lit(CLOSE)).alias("tail"),
+            spoken.alias("loss"),
+        )
+
+    rows = rows.select("conv_id", F.transform("first", message).alias("messages"))
+
+    def piece(m: Column, body: Column, j: Column) -> Column:
+        """What stands before a turn's text, its length, all its characters in the output, and whether the loss is taken on it."""
+        lead = F.when(j == 0, F.length(m["head"])).otherwise(F.lit(len(JOIN)))
+        last = F.when(j == F.size(m["bodies"]) - 1, F.length(m["tail"])).otherwise(F.lit(0))
+        return F.struct(lead.alias("lead"), F.length(body).alias("size"), (lead + F.length(body) + last).cast("long").alias("all"), m["loss"].alias("loss"))
+
+    pieces = F.flatten(F.transform("messages", lambda m: F.transform(m["bodies"], lambda body, j: piece(m, body, j))))
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["head"], F.array_join(m["bodies"], JOIN), m["tail"])), "")
+    rows = rows.select("conv_id", text.alias("formatted"), pieces.alias("pieces"))
+    rows = rows.withColumn("begin", running(F.transform("pieces", lambda p: p["all"])))
+
+    def span(p: Column, k: Column) -> Column:
+        begin = (F.get(F.col("begin"), k) + p["lead"]).cast("int")
+        return F.when(p["loss"], F.struct(begin.alias("start"), (begin + p["size"]).alias("end")))
+
+    return rows.select("conv_id", "formatted", F.filter(F.transform("pieces", span), lambda s: s.isNotNull()).alias("loss_spans"))
+
+
+def running(sizes: Column, block: int = 256) -> Column:
+    """The sum of the elements before each one of a long array: blocks of a fixed size are summed
+    apart, so that no array is copied once for each of its elements."""
+    add = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
+    none = F.array(F.lit(0).cast("long"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, block))
+    inside = F.transform(blocks, lambda x: F.aggregate(x, none, add))
+    offsets = F.aggregate(inside, none, lambda acc, x: add(acc, F.element_at(x, -1)))
+    return F.flatten(F.transform(inside, lambda x, i: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: v + F.get(offsets, i))))
 
 
 def parse(formatted: Column) -> Column:

@@ -42,3 +42,11 @@ def test_edge_rows(spark):
     got = {r.conv_id: r.formatted for r in chat.format_chats(df).collect()}
     assert got == {None: "[INST][:][+][/INST]", 7: "[INST]user[:]a[+]a[/INST]"}
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_long_conversation(spark):
+    """More turns than a block of running totals, and runs of one role."""
+    rows = [(1, i, "assistant" if i % 7 < 3 else "user", f"t{i}" * (i % 5)) for i in range(2000)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert [got.formatted[s.start : s.end] for s in got.loss_spans] == [t for *_, r, t in rows if r == "assistant"]
+    assert got.formatted.startswith("<s>assistant[:][+]t1[+]t2t2</s>[INST]user[:]t3t3t3[+]")
