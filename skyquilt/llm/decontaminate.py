@@ -9,14 +9,16 @@ candidates for it; the others are looked up in the sketches, whatever their
 length, and candidates are verified by the exact share of the item's shingles
 that the document holds.  No leak is missed, and none is reported unverified.
 
-Words are lower-cased in A-Z.  A text of fewer than five words is one shingle.
+Words are lower-cased in A-Z.  A text of fewer than five words is one shingle,
+so an item that short is found only where it is a whole document: two words in
+a long text are no leak.
 
 Scale: documents are never shuffled.  Items go to the executors in blocks of at
 most ``BLOCK_SHINGLES`` shingles (16 MB of hashes); more items make more passes
 over the documents, not larger ones.
 
-Defined results: null and empty texts hold and leak nothing; null ids are
-reported as null; repeated items are one, repeated documents each have their
+Defined results: null and empty texts hold and leak nothing; ids keep their
+types, null ids are reported as null; repeated items are one, repeated documents each have their
 rows; no documents or no items give no rows; extra columns are ignored, or kept
 by :func:`clean`.
 """
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyquilt.llm.words import Words, slices, windows
 from skyquilt.session import table
@@ -129,7 +132,7 @@ class Index:
         return pair[keep] // stride, pair[keep] % stride, found[keep]
 
 
-def blocks(items: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[tuple[list, Index]]:
+def blocks(items: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[tuple[pa.Array, Index]]:
     """Ids and index of each block of items."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,24 +142,26 @@ def blocks(items: DataFrame, item: str = "item_id", text: str = "text") -> Itera
                 lists = [np.unique(x) for x in np.split(h, np.searchsorted(doc, np.arange(1, part.num_rows)))] if part.num_rows else []
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64()))], names=["item_id", "shingles"])
 
-    sets = items.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(cut, "item_id long, shingles array<long>").where(F.size("shingles") > 0).distinct()
+    source = items.select(F.col(item).alias("item_id"), F.col(text).alias("text"))
+    sets = source.mapInArrow(cut, T.StructType([source.schema["item_id"], T.StructField("shingles", T.ArrayType(T.LongType()))])).where(F.size("shingles") > 0).distinct()
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
     parts = -(-total // BLOCK_SHINGLES)
     for k in range(parts):
         rows = sets.where(F.pmod(F.hash("item_id", "shingles"), F.lit(parts)) == k).toArrow()
         lists = rows.column("shingles").combine_chunks()
         n = np.diff(lists.offsets.to_numpy())
-        yield rows.column("item_id").to_pylist(), Index(np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy().view(np.uint64))
+        yield rows.column("item_id").combine_chunks(), Index(np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy().view(np.uint64))
 
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc: str = "doc_id", item: str = "item_id") -> DataFrame:
     """``doc_id, item_id, n_shingles, n_found`` of every document and item it holds."""
     spark = docs.sparkSession
-    source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, item_id long, n_shingles long, n_found long"
+    source = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    counts = [T.StructField(c, T.LongType()) for c in ("n_shingles", "n_found")]
+    schema = T.StructType([source.schema["doc_id"], T.StructField("item_id", items.schema[item].dataType), *counts])
 
-    def one(ids: list, index: Index) -> DataFrame:
-        sent = spark.sparkContext.broadcast((pa.array(ids, pa.int64()), index))
+    def one(ids: pa.Array, index: Index) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, index))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, index = sent.value
@@ -167,7 +172,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc: str = "doc
 
         return source.mapInArrow(search, schema)
 
-    found = [one(*block) for block in blocks(items)]
+    found = [one(*block) for block in blocks(items, item)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 

@@ -54,6 +54,14 @@ def test_against_brute_force(spark, monkeypatch):
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, t in docs if not brute([(d, t)], items))
 
 
+def test_ids_of_other_types_and_a_very_long_text(spark):
+    words = [f"w{i % 4999}" for i in range(300_000)]
+    df = spark.createDataFrame([("d1", " ".join(words)), ("d2", "nothing of it at all here")], "name string, text string")
+    it = spark.createDataFrame([("q", " ".join(words[1000:1040]))], "item string, text string")
+    got = decontaminate.leaks(df, it.withColumnRenamed("item", "item_id"), doc="name").collect()
+    assert [tuple(r) for r in got] == [("d1", "q", 36, 36)]
+
+
 def test_empty_tables(spark):
     docs, items = cases()
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
