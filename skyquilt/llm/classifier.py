@@ -11,8 +11,8 @@ the bound of the only broadcast.  Scoring reads each text once, without a shuffl
 
 Defined results: null and empty texts have statistics of zero and get the score
 of those; a null id is never held out nor learnt from; a document with several
-labels counts by their mean; null labels are none; without labels every score
-is 0.5; repeated rows have a row each; extra columns are ignored.
+labels counts by their mean; of several texts with one labelled id one is learnt
+from; null labels are none; without labels every score is 0.5; repeated rows have a row each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *map(pa.array, x.T)], names=["label", "key", *names])
 
     source = docs.select(F.col(text).alias("text"), F.col(doc).alias("__key"))
-    joined = source.join(F.broadcast(known), F.col("__key") == F.col("__id")).select("text", "__label", F.xxhash64("__key", "text").alias("key"))
+    joined = source.join(F.broadcast(known), F.col("__key") == F.col("__id")).select("text", F.col("__label").alias("label"), F.xxhash64("__key").alias("key"))
+    # one row a label, whatever repeats in documents: the text of smallest hash speaks for its id
+    joined = joined.groupBy("label", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label", "key")
     got = joined.mapInArrow(describe, "label int, key long, " + ", ".join(f"{c} float" for c in names)).toArrow()
     x = np.stack([got.column(c).to_numpy() for c in names], axis=1)
     order = np.argsort(got.column("key").to_numpy(), kind="stable")

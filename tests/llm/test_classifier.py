@@ -1,5 +1,8 @@
 import os
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,60 @@ def test_flat_trees_equal_a_walk_of_each():
     assert ((s > 0.5) == (y > 0.5)).mean() > 0.95
 
 
+def brute_statistics(text):
+    """The statistics of one text, counted word by word."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, size, lines = max(len(words), 1), max(len(raw), 1), raw.count(b"\n") + 1
+    chars = [len(w.decode(errors="replace")) for w in words]
+    among = lambda b, kind: sum(c in kind for c in b)
+    upper, lower, high = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(128, 256))
+    sets = [upper, bytes(range(48, 58)), b".,;:?", b"!", b"|", b"#*$%&<>_=+~^", b"\"'()[]{}", high]
+    mean = sum(map(len, words)) / n
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        inside = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if inside:
+            dup += sum(map(len, inside)) if line in seen else 0
+            seen.add(line)
+    covered = []
+    for k in sorted(classifier._RULES.coverage):
+        grams = Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+        inside = {j for i in range(len(words) - k + 1) if grams[tuple(words[i : i + k])] > 1 for j in range(i, i + k)}
+        covered.append(sum(chars[j] for j in inside) / max(sum(chars), 1))
+    return [
+        np.log1p(len(words)), sum(chars) / n, np.sqrt(max(sum(len(w) ** 2 for w in words) / n - mean**2, 0)), len(set(words)) / n, max(Counter(words).values(), default=0) / n,
+        *(among(raw, s) / size for s in sets), among(raw, sets[5]) / n, among(raw, sets[4]) / n,
+        sum(among(w, upper) >= 2 and not among(w, lower) for w in words) / n, sum(among(w, upper) == 1 for w in words) / n, sum(not among(w, upper + lower + high) for w in words) / n,
+        sum(len(w) <= 3 for w in words) / n, sum(len(w) >= 12 for w in words) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+        np.log1p(lines), len(words) / lines, dup / max(sum(chars), 1), *covered,
+    ]
+
+
+def test_statistics_against_brute_force():
+    rng = random.Random(3)
+    bits = ["the", "The", "USA", "été", "x1", "42", "!!", "a|b", "#*", "(q)", "extraordinarily", "早い", "the the", "line one here\nline one here", "a b c d e f a b c d e f"]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", " \n ", "w " * 500]
+    got = classifier.statistics(pa.array(texts, pa.string()))
+    assert np.allclose(got, np.array([brute_statistics(t) for t in texts]), rtol=1e-4, atol=1e-5)
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 4)), 1).astype(np.float32)
+    y = (x[:, 1] + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+    model = classifier.fit(x, y, 1)
+    grad, hess = y - y.mean(), np.full(300, y.mean() * (1 - y.mean()))
+
+    def gain(f, cut):
+        left = x[:, f] <= cut
+        part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + classifier.SMOOTH)
+        return part(left) + part(~left)
+
+    best = max(gain(f, c) for f in range(4) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, classifier.BINS + 1)[1:-1], method="lower")))
+    assert abs(gain(model.feature[0, 0], model.threshold[0, 0]) - best) < 1e-9
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_held_out_accuracy(spark):
     rows = classifier.op2_quality_classifier(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").collect()
@@ -49,4 +106,13 @@ def test_edge_rows(spark):
     some = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
     assert classifier.classify(docs, classifier.train(docs, some)).count() == 4
     assert classifier.classify(docs.limit(0), model).count() == 0
+    many = spark.createDataFrame([(1, f"text number {i % 9}") for i in range(500)], "doc_id long, text string")
+    fitted = []
+    real = classifier.fit
+    try:  # one row a labelled id reaches the driver, however often it repeats
+        classifier.fit = lambda x, y, trees=3: fitted.append(len(y)) or real(x, y, trees)
+        classifier.train(many, some)
+    finally:
+        classifier.fit = real
+    assert fitted == [1]
     assert classifier.statistics(pa.array([], pa.string())).shape[0] == 0
