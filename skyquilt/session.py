@@ -14,14 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
+    """The cluster's shared checkpoint folder, ``spark.checkpoint.dir``.
 
-    It is ``spark.checkpoint.dir``.  Only where neither that setting nor a
-    checkpoint folder exists, as in tests, a temporary one is made.
+    Where neither that setting nor a checkpoint folder exists, a local session, as
+    in tests, gets a temporary one; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -36,3 +39,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that :func:`stored` wrote and nothing reads any more."""
+    sc, prefix = df.sparkSession.sparkContext, f"{shared_folder(df.sparkSession)}/table-"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        if "/table-" in folder and path.getName().startswith("table-") and prefix.rpartition("/")[0].rpartition("/")[2] == path.getParent().getName():
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
