@@ -21,7 +21,8 @@ def test_stages_against_brute_force(spark):
         if name == "quality_rules":
             rows = [r for r in rows if test_quality.brute(r[1], QualityRules())["kept"]]
         elif name == "near_duplicates":
-            root = test_simhash.brute_components([test_simhash.brute_fingerprint(t) for _, t, _ in rows])
+            near = corpus_pipeline.NEAR
+            root = test_simhash.brute_components([test_simhash.brute_fingerprint(t, near["shingle"]) for _, t, _ in rows], near["distance"])
             least = {}
             for (i, *_), c in zip(rows, root):
                 least[c] = min(i, least.get(c, i))
@@ -46,3 +47,29 @@ def test_stages_against_brute_force(spark):
         assert out.columns == columns and sorted(r.doc_id for r in got) == sorted(r[0] for r in rows), name
         docs = out
     assert corpus_pipeline.run(spark, DATA).count() == len(rows)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated rows and ids, long texts, clashing names, and no rows at all."""
+    prose = lambda k: " ".join(f"word{(7 * k + i * i) % 997}" for i in range(40 + k))
+    rows = [(i if i % 5 else None, prose(i), ["en", None][i % 2], ["s", None, "t"][i % 3], "r") for i in range(40)]
+    rows += [rows[1], rows[1], (1, prose(77), "en", "s", "r"), (50, None, "en", "s", "r"), (51, "", None, None, None), (None, None, None, None, None), (52, prose(0) * 300, "en", "s", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row string")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+        got = stage(spark, corpus_pipeline.stored(docs), DATA)
+        if name == "sharding":
+            assert got.count() == len(rows)
+            continue
+        assert got.columns == docs.columns, name
+        kept = Counter(map(str, (tuple(r) for r in got.collect())))
+        assert set(kept) <= {str(r) for r in rows}, name
+        if name == "quality_rules":
+            assert sum(kept.values()) >= 40 and str(rows[-2]) not in kept
+        elif name == "near_duplicates":  # one row of what has no words, one of equal rows, the other text of id 1
+            assert max(kept.values()) == 1 and kept[str(rows[42])] == 1 and sum(1 for r in rows[43:46] if str(r) in kept) == 1
+        elif name == "decontamination":
+            assert sum(kept.values()) == len(rows)
+        else:
+            assert kept[str(rows[43])] == 0 and sum(kept.values()) > 20
+    assert corpus_pipeline.STAGES[-1][0] == "sharding"

@@ -12,17 +12,17 @@ from skyquilt.llm.xx import xxh64
 SCHEMA = "doc_id long, text string, fp string, node string, anchor string"
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, shingle=4):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
     words = [w.lower() for w in words]
     if not words:
         return 0
-    grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
     h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(fp):
+def brute_components(fp, distance=4):
     root = list(range(len(fp)))
 
     def find(i):
@@ -33,7 +33,7 @@ def brute_components(fp):
 
     for i in range(len(fp)):
         for j in range(i):
-            if (fp[i] ^ fp[j]).bit_count() <= 4:
+            if (fp[i] ^ fp[j]).bit_count() <= distance:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [find(i) for i in range(len(fp))]
