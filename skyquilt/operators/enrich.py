@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions.sphere import precess, precession_matrix, to_vector
 from skyquilt.functions.text import object_tier
-from skyquilt.operators.rangejoin import first_interval
 
 ARCMIN = math.pi / 180 / 60
 
@@ -36,6 +35,23 @@ def prominence(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return found.withColumn("prominence", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+#: The fewest and most objects that a request may ask for.
+LEAST_OBJECTS, MOST_OBJECTS = 1, 5000
+
+
+def page(found: DataFrame, wanted: int) -> DataFrame:
+    """Of ranked objects the first ``wanted``, within the limits of a request, with the ``total`` found."""
+    count = max(LEAST_OBJECTS, min(MOST_OBJECTS, wanted))
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.where(F.col("prominence") <= count).withColumn("total", total.scalar())
+
+
+def described(solutions: DataFrame, matches: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Solutions (``id, ra, dec``) with the ``constellation`` of the centre and the number of ``matches`` (rows of their ``id``)."""
+    counts = matches.groupBy("id").agg(F.count(F.lit(1)).alias("matches"))
+    return constellations(solutions, intervals).join(counts, "id", "left").fillna(0, ["matches"])
+
+
 def in_fields(objects: DataFrame, fields: DataFrame) -> DataFrame:
     """Objects that reach into each field (``field, field_ra, field_dec, field_radius``).
 
@@ -54,13 +70,17 @@ def in_fields(objects: DataFrame, fields: DataFrame) -> DataFrame:
     return prominence(joined.withColumn("distance", distance).where(F.col("distance") <= F.col("field_radius") + reach), ("field",))
 
 
-def constellations(positions: DataFrame, rows: DataFrame, key: tuple[str, ...] = ("id",), epoch: float = 2000.0) -> DataFrame:
+def constellations(positions: DataFrame, rows: DataFrame, epoch: float = 2000.0) -> DataFrame:
     """Add ``constellation``: the first row (by ``seq``) with dec >= dec_low and ra_low <= ra < ra_high,
-    hours and degrees of 1875, to which positions are precessed."""
+    hours and degrees of 1875, to which positions are precessed; null where none holds the position.
+
+    The rows, a few hundred, are one array that every position looks through: no shuffle of positions.
+    """
     ra, dec = precess(precession_matrix(epoch, 1875.0), F.col("ra"), F.col("dec"))
-    at = positions.withColumns({"__h": F.degrees(ra) / 15, "__d": F.degrees(dec)})
-    cond = (F.col("__d") >= F.col("dec_low")) & (F.col("ra_low") <= F.col("__h")) & (F.col("__h") < F.col("ra_high"))
-    return first_interval(at, rows, cond, list(key), "seq", "name", "constellation").drop("__h", "__d")
+    table = rows.agg(F.array_sort(F.collect_list(F.struct("seq", "ra_low", "ra_high", "dec_low", "name"))).alias("rows"))
+    at = positions.withColumns({"__h": F.degrees(ra) / 15, "__d": F.degrees(dec), "__rows": table.scalar()})
+    holds = F.filter("__rows", lambda r: (F.col("__d") >= r["dec_low"]) & (r["ra_low"] <= F.col("__h")) & (F.col("__h") < r["ra_high"]))
+    return at.withColumn("constellation", F.get(holds, 0)["name"]).drop("__h", "__d", "__rows")
 
 
 def resolve(base: DataFrame, other: DataFrame, reach_arcmin: float) -> DataFrame:

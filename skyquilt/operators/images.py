@@ -18,22 +18,21 @@ def order_statistic(values: Column | str, share: float) -> Column:
     return F.get(a, F.least(F.size(a) - 1, F.floor(F.size(a) * F.lit(share)).cast("int")))
 
 
-def _median_sigma(df: DataFrame, by: list[str], v: str) -> DataFrame:
-    """``median, sigma`` (1.4826 MAD) of each group; a tile holds a bounded number of pixels."""
-    m = df.groupBy(*by).agg(upper_median(v).alias("median"), F.count(F.lit(1)).alias("n"))
-    dev = df.join(m, by).groupBy(*by).agg((1.4826 * upper_median(F.abs(F.col(v) - F.col("median")))).alias("sigma"))
-    return m.join(dev, by)
-
-
 def tile_background(pixels: DataFrame, tile: int, by: tuple[str, ...] = ("image_id",), v: str = "v") -> DataFrame:
-    """``tile_x, tile_y, median, sigma`` of each tile, with pixels over 3 sigma clipped and the
-    statistics repeated once if over 8 are left."""
+    """``tile_x, tile_y, median, sigma`` (1.4826 MAD) of each tile, with pixels over 3 sigma clipped and
+    the statistics repeated once if over 8 are left.
+
+    A tile holds a bounded number of pixels: they are collected once, and all else is array functions.
+    """
     keys = [*by, "tile_x", "tile_y"]
+    middle = lambda a: F.get(a, F.floor(F.size(a) / 2).cast("int"))
+    spread = lambda a, m: 1.4826 * middle(F.array_sort(F.transform(a, lambda x: F.abs(x - m))))
     t = pixels.withColumns({"tile_x": F.floor(F.col("x") / tile).cast("int"), "tile_y": F.floor(F.col("y") / tile).cast("int")})
-    first = _median_sigma(t, keys, v)
-    near = t.join(first, keys).where(F.abs(F.col(v) - F.col("median")) <= 3 * F.col("sigma")).drop("median", "sigma", "n")
-    second = _median_sigma(near, keys, v).where("n > 8").select(*keys, F.col("median").alias("m2"), F.col("sigma").alias("s2"))
-    return first.join(second, keys, "left").select(*keys, F.coalesce("m2", "median").alias("median"), F.coalesce("s2", "sigma").alias("sigma"))
+    t = t.groupBy(*keys).agg(F.array_sort(F.collect_list(v)).alias("__v")).withColumn("median", middle(F.col("__v")))
+    t = t.withColumn("sigma", spread(F.col("__v"), F.col("median")))
+    t = t.withColumn("__near", F.filter("__v", lambda x: F.abs(x - F.col("median")) <= 3 * F.col("sigma"))).withColumn("__m2", middle(F.col("__near")))
+    again = F.size("__near") > 8
+    return t.select(*keys, F.when(again, F.col("__m2")).otherwise(F.col("median")).alias("median"), F.when(again, spread(F.col("__near"), F.col("__m2"))).otherwise(F.col("sigma")).alias("sigma"))
 
 
 def sigma_floor(tiles: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFrame:

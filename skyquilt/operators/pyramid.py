@@ -40,10 +40,11 @@ def one_level(stars: DataFrame, grid: RingGrid, level: int, k: int) -> tuple[Dat
 
 
 def fixed_levels(stars: DataFrame, sizes_deg: list[float], k: int) -> DataFrame:
-    """A pyramid of given cell sizes, without leftovers."""
+    """A pyramid of given cell sizes, without leftovers.  Ranks of a level are cut, so that no level replays those before."""
     out, rest = None, stars
     for level, size in enumerate(sizes_deg):
-        top, rest = one_level(rest, RingGrid(math.radians(size)), level, k)
+        ranked = cut(brightest(RingGrid(math.radians(size)).with_cell(rest), ["cell"], k))
+        top, rest = ranked.where(F.col("rn") <= k).withColumn("level", F.lit(level)), ranked.where(F.col("rn") > k).drop("cell", "rn")
         out = top if out is None else out.unionByName(top)
     return out
 
@@ -114,13 +115,14 @@ def whole_levels(stars: DataFrame, count: int) -> DataFrame:
 
 
 def brightness_rank(stars: DataFrame, mag: str = "mag", id_: str = "id", step: float = 0.01) -> DataFrame:
-    """Add ``rank``, from 0, over all stars by brightness.
+    """Add ``rank``, from 0, over all stars by brightness; stars without a magnitude come last.
 
     Stars are ranked inside steps of magnitude; the counts of steps, a few
     thousand rows, give the offsets, so no task sorts the whole catalog.
     """
     rows = stars.withColumn("__step", F.floor(brightness(mag) / step))
     counts = rows.groupBy("__step").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__step", F.coalesce(F.sum("__n").over(Window.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    before = counts.select("__step", F.coalesce(F.sum("__n").over(Window.orderBy(F.col("__step").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__step").orderBy(brightness(mag), id_)) - 1
-    return rows.withColumn("__in", inside).join(before, "__step").withColumn("rank", F.col("__before") + F.col("__in")).drop("__step", "__in", "__before")
+    before = before.withColumnRenamed("__step", "__of")
+    return rows.withColumn("__in", inside).join(before, F.col("__step").eqNullSafe(F.col("__of"))).withColumn("rank", F.col("__before") + F.col("__in")).drop("__step", "__of", "__in", "__before")

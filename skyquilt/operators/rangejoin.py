@@ -86,12 +86,3 @@ def mutual_best(pairs: DataFrame, left: Sequence[str], right: Sequence[str], dis
     """Of nearest pairs, keep for each right row its closest left row (first by ``tie``)."""
     w = Window.partitionBy(*right).orderBy(distance, *tie, *left)
     return pairs.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-
-
-def first_interval(points: DataFrame, intervals: DataFrame, cond: Column, key: Sequence[str], seq: str, pick: str, out: str) -> DataFrame:
-    """For each point the ``pick`` of the first interval row by ``seq`` that holds it.
-
-    Intervals are a dimension of a few hundred rows (checked by Spark's own size limit).
-    """
-    found = points.join(intervals, cond).groupBy(*key).agg(F.min_by(pick, seq).alias(out))
-    return points.join(found, list(key), "left")

@@ -77,18 +77,13 @@ q AS (SELECT oid, id AS id3 FROM (SELECT *, row_number() OVER (PARTITION BY oid
 SELECT oid, coalesce(id1, id2, id3, -1) AS id, CASE WHEN id1 IS NOT NULL THEN 'designation' WHEN id2 IS NOT NULL THEN 'name' WHEN id3 IS NOT NULL THEN 'position' ELSE 'none' END AS matched_by FROM o LEFT JOIN i USING (oid) LEFT JOIN n USING (oid) LEFT JOIN q USING (oid)"""
 
 
-def object_aliases_whole(spark: SparkSession, d: str, keep: str = "true") -> DataFrame:
-    return enrich.aliases(table(spark, d, "part").select("p_brand", "p_type", "p_partkey").where(keep), "p_brand", "p_type", "p_partkey")
-
-
 def object_aliases(spark: SparkSession, d: str) -> DataFrame:
-    """The parts of the twin."""
-    return object_aliases_whole(spark, d, "p_partkey < 400")
+    return enrich.aliases(table(spark, d, "part").select("p_brand", "p_type", "p_partkey"), "p_brand", "p_type", "p_partkey")
 
 
 def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("name"), F.col("c_acctbal").alias("size"), F.sha2(F.col("c_name").cast("binary"), 256).alias("sha256"))
-    return enrich.upsert(c.where("name % 2 = 0"), c.where("name % 3 = 0").withColumn("size", F.lit(0.0)), "name")
+    return enrich.upsert(c, c.where("name % 3 = 0").withColumn("size", F.lit(0.0)), "name")
 
 
 def rejected_anti(spark: SparkSession, d: str) -> DataFrame:
@@ -97,18 +92,13 @@ def rejected_anti(spark: SparkSession, d: str) -> DataFrame:
     return codes.join(gone, "id", "left_anti")
 
 
-def installed_left_join_whole(spark: SparkSession, d: str, keep: str = "true") -> DataFrame:
-    available = table(spark, d, "customer").where(keep).select(F.concat(F.lit("gaia-"), F.col("c_custkey").cast("string")).alias("name"))
+def installed_left_join(spark: SparkSession, d: str) -> DataFrame:
+    available = table(spark, d, "customer").select(F.concat(F.lit("gaia-"), F.col("c_custkey").cast("string")).alias("name"))
     installed = table(spark, d, "orders").groupBy(F.concat(F.lit("gaia-"), F.col("o_custkey").cast("string")).alias("name")).agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum("o_totalprice"), 2).alias("bytes"))
     joined = available.join(installed, "name", "left")
     return joined.select("name", F.coalesce(tx.catalog_size(F.col("name")), F.lit(0)).alias("density"), F.col("parts").isNotNull().alias("installed"), F.coalesce("parts", F.lit(0)).alias("parts"))
 
 
-def installed_left_join(spark: SparkSession, d: str) -> DataFrame:
-    """The customers of the twin."""
-    return installed_left_join_whole(spark, d, "c_custkey % 10 = 0")
-
-
 def retention_window(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 97 * 1e7).alias("bytes"))
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")
@@ -173,20 +163,15 @@ def _wcs_of(spark: SparkSession, d: str) -> DataFrame:
     return o.select(k.alias("id"), w.alias("w"))
 
 
-def wcs_pixels_whole(spark: SparkSession, d: str) -> DataFrame:
+def wcs_pixels(spark: SparkSession, d: str) -> DataFrame:
     w = F.col("w")
     rows = _wcs_of(spark, d).withColumn("sky", wf.pixel_to_sky(w, F.lit(100.0), F.lit(900.0)))
     rows = rows.withColumn("pixel", wf.sky_to_pixel(w, F.col("sky.ra"), F.col("sky.dec")))
     return rows.select("id", F.round("sky.ra", 6).alias("ra"), F.round("sky.dec", 6).alias("dec"), F.round("pixel.x", 6).alias("x"), F.round("pixel.y", 6).alias("y"), F.round(wf.pixel_scale(w), 6).alias("scale"), F.round(wf.rotation(w), 6).alias("rotation"), wf.flipped(w).alias("flipped"))
 
 
-def wcs_pixels(spark: SparkSession, d: str) -> DataFrame:
-    """The orders of the twin."""
-    return wcs_pixels_whole(spark, d).where("id % 10 = 3")
-
-
 def _wcs_sql() -> str:
-    return f"""WITH k AS (SELECT o_orderkey AS id, radians(o_orderkey % 360) AS r, 0.005::double + (o_orderkey % 50) * 0.0001::double AS s, radians(o_orderkey % 360) AS a, radians(o_orderkey % 171 - 85) AS d FROM orders WHERE o_orderkey % 10 = 3),
+    return f"""WITH k AS (SELECT o_orderkey AS id, radians(o_orderkey % 360) AS r, 0.005::double + (o_orderkey % 50) * 0.0001::double AS s, radians(o_orderkey % 360) AS a, radians(o_orderkey % 171 - 85) AS d FROM orders),
 t AS (SELECT *, radians(-s * cos(r) * (100 - 799.5) + s * sin(r) * (900 - 599.5)) AS xi, radians(s * sin(r) * (100 - 799.5) + s * cos(r) * (900 - 599.5)) AS eta FROM k),
 v AS (SELECT *, cos(d) * cos(a) - xi * sin(a) - eta * sin(d) * cos(a) AS x, cos(d) * sin(a) + xi * cos(a) - eta * sin(d) * sin(a) AS y, sin(d) + eta * cos(d) AS z FROM t)
 SELECT id, round(degrees(CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + {2 * math.pi!r} ELSE atan2(y, x) END), 6) AS ra, round(degrees(asin(z / sqrt(x * x + y * y + z * z))), 6) AS dec, 100.0::double AS x, 900.0::double AS y,
@@ -205,28 +190,18 @@ def wcs_cards(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.size("k").alias("n"), out.header(cards).alias("header"))
 
 
-def matches_csv_whole(spark: SparkSession, d: str, keep: str = "true") -> DataFrame:
-    li = table(spark, d, "lineitem").where(keep)
+def matches_csv(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
     line = out.matches_line(F.col("l_quantity") * 8, F.col("l_quantity") * 4, F.col("l_discount") * 1024, F.col("l_tax") * 512, F.col("l_quantity") / 4)
     return li.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def matches_csv(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of the twin."""
-    return matches_csv_whole(spark, d, "l_orderkey % 20 = 0")
-
-
-def result_json_whole(spark: SparkSession, d: str, keep: str = "true") -> DataFrame:
-    o = table(spark, d, "orders").where(keep)
+def result_json(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
     fields = {"id": F.col("o_orderkey"), "solved": F.col("o_orderkey") % 3 > 0, "scale": F.when(F.col("o_orderkey") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("o_custkey") / 8.0), "focal": F.when(F.col("o_orderkey") % 20 == 0, F.col("o_custkey"))}
     return o.select("o_orderkey", out.result_json(o, fields, ("focal",)).alias("json"))
 
 
-def result_json(spark: SparkSession, d: str) -> DataFrame:
-    """The orders of the twin."""
-    return result_json_whole(spark, d, "o_orderkey % 10 = 0")
-
-
 def text_report(spark: SparkSession, d: str) -> DataFrame:
     names = F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 8 + 1).cast("int")), lambda i: F.concat(F.lit("M "), i.cast("string")))
     o = table(spark, d, "orders")
@@ -252,14 +227,9 @@ def sky_chart(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("band").agg(F.array_join(F.transform(points, lambda p: p["id"].cast("string")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
 
 
-def plate_keywords_whole(spark: SparkSession, d: str) -> DataFrame:
-    rows = _wcs_of(spark, d)
-    return rows.select("id", *(F.round(c, 6).alias(k.lower()) for k, c in wf.plate(F.col("w")).items()))
-
-
 def plate_keywords(spark: SparkSession, d: str) -> DataFrame:
-    """The orders of the twin."""
-    return plate_keywords_whole(spark, d).where("id % 10 = 3")
+    rows = _wcs_of(spark, d)
+    return rows.select("id", *((F.round(c, 6) + F.lit(0.0)).alias(k.lower()) for k, c in wf.plate(F.col("w")).items()))
 
 
 def result_ini(spark: SparkSession, d: str) -> DataFrame:
@@ -278,13 +248,66 @@ def figure_lines(spark: SparkSession, d: str) -> DataFrame:
     return enrich.figures(lines, ad.stars(spark, d).select(F.col("id").alias("hr"), "ra", "dec")).select("name", "line", "k", *r6("ra", "dec"))
 
 
+def object_page(spark: SparkSession, d: str) -> DataFrame:
+    """The most prominent objects around a point, as many as a request may ask for, and how many there are in all."""
+    return enrich.page(enrich.around(ad.objects(spark, d), *CENTRE), 9000).select("id", "prominence", "total")
+
+
+def describe_solutions(spark: SparkSession, d: str) -> DataFrame:
+    """Each solution with the constellation of its centre, its scale, the points of its outline and its matches."""
+    w = F.col("w")
+    matches = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(CONSTELLATIONS)], "seq int, ra_low double, ra_high double, dec_low double, name string")
+    solved = _wcs_of(spark, d).select("id", F.radians(w["crval_ra"]).alias("ra"), F.radians(w["crval_dec"]).alias("dec"), wf.pixel_scale(w).alias("scale"), wf.outline(F.lit(1600), F.lit(1200)).alias("outline"))
+    told = enrich.described(solved, matches, rows)
+    return told.select("id", "constellation", F.round("scale", 6).alias("scale"), "matches", F.size("outline").alias("corners"))
+
+
+def field_scales(spark: SparkSession, d: str) -> DataFrame:
+    """Focal length, width in pixels and limits of the scale for fields of view."""
+    k = F.col("o_orderkey")
+    fov, width, scale = k % 50 / F.lit(10.0) + 1, 800 + k % 13 * 100, k % 7 / F.lit(2.0) + 0.5
+    low, high = wf.scale_limits(fov, width)
+    return table(spark, d, "orders").select(k.alias("id"), F.round(wf.focal_length_mm(F.lit(3.76), scale), 6).alias("focal"), wf.field_pixels(fov, scale).alias("pixels"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
 def timing_summary(spark: SparkSession, d: str) -> DataFrame:
     """Median, mean and longest of each kind of run."""
     e = table(spark, d, "events").where("value is not null")
     return e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (objects_around, objects_in_field, constellation_first_match, entity_resolution, object_aliases, object_aliases_whole, manifest_upsert, rejected_anti, installed_left_join, installed_left_join_whole, retention_window, progress_throttle, sexagesimal_parse, sexagesimal_format, designation_normalize, file_names, query_parameters, julian_epochs, stale_header_keys, wcs_pixels, wcs_pixels_whole, image_outline, wcs_cards, matches_csv, matches_csv_whole, result_json, result_json_whole, text_report, exit_statuses, polygon_edges, sky_chart, plate_keywords, plate_keywords_whole, result_ini, spaced_angles, figure_lines, timing_summary)}
+QUERIES = {f.__name__: f for f in (object_page, describe_solutions, field_scales, objects_around, objects_in_field, constellation_first_match, entity_resolution, object_aliases, manifest_upsert, rejected_anti, installed_left_join, retention_window, progress_throttle, sexagesimal_parse, sexagesimal_format, designation_normalize, file_names, query_parameters, julian_epochs, stale_header_keys, wcs_pixels, image_outline, wcs_cards, matches_csv, result_json, text_report, exit_statuses, polygon_edges, sky_chart, plate_keywords, result_ini, spaced_angles, figure_lines, timing_summary)}
+
+def _outline_sql() -> str:
+    """The edges of the images of :func:`_wcs_of`, eight points an edge."""
+    return f"""WITH p AS (SELECT k, CASE k // 8 WHEN 0 THEN k % 8 / 8.0 * 1599 WHEN 1 THEN 1599 WHEN 2 THEN (1 - k % 8 / 8.0) * 1599 ELSE 0 END::double AS px, CASE k // 8 WHEN 0 THEN 0 WHEN 1 THEN k % 8 / 8.0 * 1199 WHEN 2 THEN 1199 ELSE (1 - k % 8 / 8.0) * 1199 END::double AS py FROM range(32) r(k)),
+o AS (SELECT o_orderkey AS id, radians(o_orderkey % 360) AS r, 0.005::double + (o_orderkey % 50) * 0.0001::double AS s, radians(o_orderkey % 360) AS a, radians(o_orderkey % 171 - 85) AS d FROM orders),
+t AS (SELECT id, k, a, d, radians(-s * cos(r) * (px - 799.5) + s * sin(r) * (py - 599.5)) AS xi, radians(s * sin(r) * (px - 799.5) + s * cos(r) * (py - 599.5)) AS eta FROM o, p),
+v AS (SELECT id, k, cos(d) * cos(a) - xi * sin(a) - eta * sin(d) * cos(a) AS x, cos(d) * sin(a) + xi * cos(a) - eta * sin(d) * sin(a) AS y, sin(d) + eta * cos(d) AS z FROM t)
+SELECT id, k::int AS k, round(degrees(CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + {2 * math.pi!r} ELSE atan2(y, x) END), 6) AS ra, round(degrees(asin(z / sqrt(x * x + y * y + z * z))), 6) AS dec FROM v"""
+
+
+def _page_sql() -> str:
+    c = math.cos(CENTRE[1]) * math.cos(CENTRE[0]), math.cos(CENTRE[1]) * math.sin(CENTRE[0]), math.sin(CENTRE[1])
+    return f"""WITH o AS ({ad.OBJECTS}), f AS (SELECT *, {_CHORD.format(*(repr(x) for x in c))} AS distance FROM o),
+g AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS prominence, count(*) OVER () AS total FROM f WHERE distance <= {CENTRE[2]!r} + coalesce(major, 0) * {enrich.ARCMIN!r} / 2)
+SELECT id, prominence, total FROM g WHERE prominence <= 5000"""
+
+
+def _describe_sql() -> str:
+    rows = ", ".join(f"({i}, {a}::double, {b}::double, {c}::double, '{n}')" for i, (a, b, c, n) in enumerate(CONSTELLATIONS))
+    m = precession_matrix(2000.0, 1875.0)
+    v = ["cos(d) * cos(a)", "cos(d) * sin(a)", "sin(d)"]
+    x, y, z = (" + ".join(f"({c!r}::double) * ({e})" for c, e in zip(row, v)) for row in m)
+    return f"""WITH o AS (SELECT o_orderkey AS id, radians(o_orderkey % 360) AS a, radians(o_orderkey % 171 - 85) AS d, 0.005::double + (o_orderkey % 50) * 0.0001::double AS s FROM orders),
+p AS (SELECT *, {x} AS x, {y} AS y, {z} AS z FROM o),
+q AS (SELECT *, degrees(CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + {2 * math.pi!r} ELSE atan2(y, x) END) / 15 AS h, degrees(asin(greatest(-1, least(1, z)))) AS g FROM p),
+c(seq, ra_low, ra_high, dec_low, name) AS (VALUES {rows}),
+n AS (SELECT l_orderkey AS id, count(*) AS matches FROM lineitem GROUP BY 1)
+SELECT id, min_by(name, seq) AS constellation, any_value(round(s * 3600, 6)) AS scale, coalesce(any_value(matches), 0) AS matches, 32 AS corners
+FROM q JOIN c ON g >= dec_low AND ra_low <= h AND h < ra_high LEFT JOIN n USING (id) GROUP BY id"""
+
 
 _C = math.cos(CENTRE[1]) * math.cos(CENTRE[0]), math.cos(CENTRE[1]) * math.sin(CENTRE[0]), math.sin(CENTRE[1])
 _HMS = "printf('%02d:%02d:%05.2f', c // 360000, (c // 6000) % 60, (c % 6000) / 100.0::double)"
@@ -294,10 +317,10 @@ ORACLES = {
     "objects_in_field": f"WITH o AS ({ad.OBJECTS}), n AS (SELECT n_nationkey AS field, n_nationkey * 0.25::double AS a, n_nationkey * 0.1::double - 1.2 AS d FROM nation), f AS (SELECT *, {_CHORD.format('cos(d) * cos(a)', 'cos(d) * sin(a)', 'sin(d)')} AS distance FROM o, n) SELECT field, id, row_number() OVER (PARTITION BY field ORDER BY {_ORDER}) AS prominence FROM f WHERE distance <= 0.15 + coalesce(major, 0) * {enrich.ARCMIN!r} / 2",
     "constellation_first_match": _constellation_sql(),
     "entity_resolution": _resolve_sql(),
-    "object_aliases": "WITH f AS (SELECT p_brand, p_type, min(p_partkey) AS k FROM part WHERE p_partkey < 400 GROUP BY ALL) SELECT p_brand, arg_min(p_type, k) AS first_name, array_to_string(list(p_type ORDER BY k)[2:], ';') AS aliases FROM f GROUP BY p_brand",
-    "manifest_upsert": "SELECT c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS size, sha256(c_name) AS sha256 FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "object_aliases": "WITH f AS (SELECT p_brand, p_type, min(p_partkey) AS k FROM part GROUP BY ALL) SELECT p_brand, arg_min(p_type, k) AS first_name, array_to_string(list(p_type ORDER BY k)[2:], ';') AS aliases FROM f GROUP BY p_brand",
+    "manifest_upsert": "SELECT c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS size, sha256(c_name) AS sha256 FROM customer",
     "rejected_anti": f"SELECT id, c0 FROM ({ad.CODES}) WHERE id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
-    "installed_left_join": "SELECT 'gaia-' || c_custkey AS name, CASE WHEN c_custkey BETWEEN 10 AND 10000 THEN c_custkey::int ELSE 0 END AS density, count(o_orderkey) > 0 AS installed, count(o_orderkey) AS parts FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 = 0 GROUP BY c_custkey",
+    "installed_left_join": "SELECT 'gaia-' || c_custkey AS name, CASE WHEN c_custkey BETWEEN 10 AND 10000 THEN c_custkey::int ELSE 0 END AS density, count(o_orderkey) > 0 AS installed, count(o_orderkey) AS parts FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "retention_window": "WITH e AS (SELECT user_id, event_id, event_id % 97 * 1e7 AS b, row_number() OVER w AS place, sum(event_id % 97 * 1e7) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) SELECT user_id, event_id, place, total FROM e WHERE place <= 10 AND (total <= 4e9 OR place = 1)",
     "progress_throttle": "WITH e AS (SELECT event_type, event_id, least(4000, sum(event_id % 5 + 1) OVER (PARTITION BY event_type ORDER BY event_id))::bigint AS completed FROM events), m AS (SELECT *, completed * 20 // 4000 AS mark, lag(completed * 20 // 4000) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM e) SELECT event_type, event_id, completed, mark FROM m WHERE b IS NULL OR mark > b",
     "sexagesimal_parse": f"SELECT id, round(v, 6) AS deg, round(v * 15, 6) AS hours FROM ({_ANGLE})",
@@ -308,12 +331,25 @@ ORACLES = {
     "julian_epochs": "SELECT o_orderkey AS id, round(year(o_orderdate) + (dayofyear(o_orderdate) - 1) / 365.25::double, 6) AS epoch FROM orders",
     "stale_header_keys": "SELECT r_regionkey, unnest(['NAXIS1', 'OBJECT', 'CRVALX', 'B_1_1X']) AS key FROM region",
     "wcs_pixels": _wcs_sql(),
-    "matches_csv": "SELECT printf('%.3f,%.3f,%.7f,%.7f,%.3f', l_quantity * 8, l_quantity * 4, l_discount * 1024, l_tax * 512, l_quantity / 4) AS line, count(*) AS n FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1",
-    "result_json": "SELECT o_orderkey, '{\"id\":' || o_orderkey || ',\"solved\":' || (o_orderkey % 3 > 0)::varchar || ',\"scale\":' || CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE (o_custkey / 8.0::double)::varchar END || CASE WHEN o_orderkey % 20 = 0 THEN ',\"focal\":' || o_custkey ELSE '' END || '}' AS json FROM orders WHERE o_orderkey % 10 = 0",
+    "matches_csv": "SELECT printf('%.3f,%.3f,%.7f,%.7f,%.3f', l_quantity * 8, l_quantity * 4, l_discount * 1024, l_tax * 512, l_quantity / 4) AS line, count(*) AS n FROM lineitem GROUP BY 1",
+    "result_json": "SELECT o_orderkey, '{\"id\":' || o_orderkey || ',\"solved\":' || (o_orderkey % 3 > 0)::varchar || ',\"scale\":' || CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE (o_custkey / 8.0::double)::varchar END || CASE WHEN o_orderkey % 20 = 0 THEN ',\"focal\":' || o_custkey ELSE '' END || '}' AS json FROM orders",
     "exit_statuses": "SELECT CASE WHEN o_orderkey % 50 = 0 THEN 32 WHEN o_orderkey % 51 = 0 THEN 16 WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_custkey % 9 < 4 THEN 2 ELSE 1 END AS status, count(*) AS n FROM orders GROUP BY 1",
-    "plate_keywords": "WITH k AS (SELECT o_orderkey AS id, radians(o_orderkey % 360) AS r, 0.005::double + (o_orderkey % 50) * 0.0001::double AS s FROM orders WHERE o_orderkey % 10 = 3) SELECT id, round(-s, 6) AS cdelt1, round(s, 6) AS cdelt2, round(degrees(atan2(-s * sin(r), s * cos(r))), 6) AS crota1, round(degrees(atan2(-s * sin(r), s * cos(r))), 6) AS crota2 FROM k",
+    "plate_keywords": "WITH k AS (SELECT o_orderkey AS id, radians(o_orderkey % 360) AS r, 0.005::double + (o_orderkey % 50) * 0.0001::double AS s FROM orders) SELECT id, round(-s, 6) + 0.0 AS cdelt1, round(s, 6) + 0.0 AS cdelt2, round(degrees(atan2(-s * sin(r), s * cos(r))), 6) + 0.0 AS crota1, round(degrees(atan2(-s * sin(r), s * cos(r))), 6) + 0.0 AS crota2 FROM k",
     "spaced_angles": "SELECT o_orderkey AS id, printf('%02d: %02d  %04.1f', t // 36000, (t // 600) % 60, (t % 600) / 10.0::double) AS ra, CASE WHEN k < 0 THEN '-' ELSE '+' END || printf('%02dd %02d  %02d', s // 3600, (s // 60) % 60, s % 60) AS dec FROM (SELECT o_orderkey, floor((o_orderkey % 4000 / 8.0::double) % 360 / 15 * 36000 + 0.5)::bigint % 864000 AS t, o_orderkey % 1438 - 719 AS k, floor(abs((o_orderkey % 1438 - 719) / 8.0::double) * 3600 + 0.5)::bigint AS s FROM orders)",
     "figure_lines": f"WITH l AS (SELECT n_regionkey AS name, n_nationkey % 2 AS line, n_nationkey * 3 AS hr, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 2 ORDER BY n_nationkey) - 1 AS k FROM nation) SELECT name, line, k, round(ra, 6) AS ra, round(dec, 6) AS dec FROM l JOIN ({ad.STARS}) ON id = hr",
+    "image_outline": _outline_sql(),
+    "polygon_edges": """WITH n AS (SELECT n_regionkey AS poly, n_nationkey AS seq, (n_nationkey * 37 % 360)::double AS ra, n_nationkey * 3.5::double - 40 AS dec FROM nation),
+      e AS (SELECT *, coalesce(lead(ra) OVER w, first_value(ra) OVER w) AS r, coalesce(lead(dec) OVER w, first_value(dec) OVER w) AS d FROM n WINDOW w AS (PARTITION BY poly ORDER BY seq)),
+      t AS (SELECT *, r - ra - 360 * floor((r - ra + 180) / 360) AS turn FROM e), k AS (SELECT *, greatest(1, ceil(greatest(abs(turn), abs(d - dec)) / 2))::int AS n FROM t),
+      u AS (SELECT *, unnest(range(n)) AS step FROM k), v AS (SELECT *, ra + step / n::double * turn AS a FROM u)
+      SELECT poly, seq, step::int AS step, round(a - 360 * floor(a / 360), 6) AS ra, round(dec + step / n::double * (d - dec), 6) AS dec FROM v""",
+    "text_report": f"""SELECT o_orderkey, 'Centre: ' || {_HMS} || ' ' || {_DMS} || chr(10) || 'Scale: 1.500 arcsec/px' || chr(10) || 'Field: 0.67 x 0.50 deg' || chr(10) || 'Stars: ' || o_custkey || chr(10) || 'Objects: '
+      || array_to_string(list_transform(range(1, least(n, 5) + 1), lambda i: 'M ' || i), ', ') || CASE WHEN n > 5 THEN ' and ' || n - 5 || ' more' ELSE '' END AS report
+      FROM (SELECT o_orderkey, o_custkey, o_orderkey % 8 + 1 AS n, o_orderkey % 90 AS k, floor((o_orderkey % 360)::double / 15 * 360000 + 0.5)::bigint % 8640000 AS c, ((o_orderkey % 90) * 36000)::bigint AS e FROM orders)""",
+    "object_page": _page_sql(),
+    "describe_solutions": _describe_sql(),
+    "field_scales": """WITH k AS (SELECT o_orderkey AS id, o_orderkey % 50 / 10.0::double + 1 AS fov, 800 + o_orderkey % 13 * 100 AS width, o_orderkey % 7 / 2.0::double + 0.5 AS scale FROM orders)
+      SELECT id, round(206.264806::double * 3.76 / scale, 6) AS focal, floor(fov * 3600 / scale + 0.5)::int AS pixels, round(fov * 3600 / width * 0.7, 6) AS low, round(fov * 3600 / width * 1.3, 6) AS high FROM k""",
     "timing_summary": "SELECT event_type, round(median(value), 6) AS median, round(avg(value), 6) AS mean, max(value) AS longest FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "sky_chart": f"SELECT floor(degrees(dec) / 30)::bigint AS band, string_agg(id::varchar, ',' ORDER BY round(mag, 4), id) AS ids, count(*) AS n FROM ({ad.STARS}) WHERE mag <= 7.5 GROUP BY 1",
 }

@@ -14,7 +14,7 @@ from skyquilt.operators import pyramid, quads
 from skyquilt.operators.grid import RingGrid
 from skyquilt.operators.rangejoin import Axis, range_join
 from skyquilt.plans import adapters as ad
-from skyquilt.session import table
+from skyquilt.session import cut, table
 
 COARSE = math.radians(8)
 CONE = (1.2, 0.4, math.radians(15))
@@ -104,7 +104,7 @@ def proper_motion_positions(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(z, 6).alias("z"), F.round(separation(F.col("ra"), F.col("dec"), ra, dec) / ARCSEC, 6).alias("moved_arcsec"))
 
 
-def tangent_projection_whole(spark: SparkSession, d: str) -> DataFrame:
+def tangent_projection(spark: SparkSession, d: str) -> DataFrame:
     """Every star in front of the plane, projected and back."""
     s = ad.stars(spark, d)
     plane = TangentPlane.at(F.lit(0.7), F.lit(0.3))
@@ -114,17 +114,12 @@ def tangent_projection_whole(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.round(plane.xi(v), 6).alias("xi"), F.round(plane.eta(v), 6).alias("eta"), F.round(ra_of(back[0], back[1]), 6).alias("ra"), F.round(dec_of(back[2]), 6).alias("dec"))
 
 
-def tangent_projection(spark: SparkSession, d: str) -> DataFrame:
-    """The stars of the twin, one in five of :func:`tangent_projection_whole`."""
-    return tangent_projection_whole(spark, d).where("id % 5 = 0")
-
-
 def _tangent_sql() -> str:
     c0, c1, c2 = math.cos(0.3) * math.cos(0.7), math.cos(0.3) * math.sin(0.7), math.sin(0.3)
     h = math.hypot(c0, c1)
     e0, e1 = -c1 / h, c0 / h
     n0, n1, n2 = -c2 * e1, c2 * e0, c0 * e1 - c1 * e0
-    return f"""WITH s AS ({ad.STARS}), v AS (SELECT id, ra, dec, cos(dec) * cos(ra) AS x, cos(dec) * sin(ra) AS y, sin(dec) AS z FROM s WHERE id % 5 = 0),
+    return f"""WITH s AS ({ad.STARS}), v AS (SELECT id, ra, dec, cos(dec) * cos(ra) AS x, cos(dec) * sin(ra) AS y, sin(dec) AS z FROM s),
 t AS (SELECT *, {c0!r} * x + {c1!r} * y + {c2!r} * z AS w FROM v)
 SELECT id, round(({e0!r} * x + {e1!r} * y) / w, 6) AS xi, round(({n0!r} * x + {n1!r} * y + {n2!r} * z) / w, 6) AS eta, round(ra, 6) AS ra, round(dec, 6) AS dec FROM t WHERE w > 0.2"""
 
@@ -149,32 +144,31 @@ _TOP = f"s AS ({ad.STARS}), {rings_sql('r', COARSE)}, t AS (SELECT * FROM ({top_
 QUAD_LOW, QUAD_HIGH = math.radians(6.0), math.radians(12.0)
 
 
-def _bright_quads(stars: DataFrame) -> DataFrame:
-    q = quads.uncapped(stars.where("mag < 8.2"), RingGrid(COARSE), QUAD_LOW, QUAD_HIGH)
-    return q.select("a", "b", "c", "d", "cx", "cy", "dx", "dy")
-
-
-def quads_uncapped_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every quad of bright stars: C and D inside the circle on AB, in canonical order, with its code."""
-    return _bright_quads(ad.stars(spark, d))
-
-
 def quads_uncapped(spark: SparkSession, d: str) -> DataFrame:
-    """The quads among the stars of the twin, one in sixteen of those of :func:`quads_uncapped_whole`."""
-    return _bright_quads(ad.stars(spark, d).where("id % 16 = 0"))
+    """Every quad of the stars of level 0: C and D inside the circle on AB, in canonical order, with its code."""
+    grid = RingGrid(COARSE)
+    top, _ = pyramid.one_level(ad.stars(spark, d), grid, 0, 4)
+    q = quads.uncapped(cut(top.select("id", "ra", "dec")), grid, QUAD_LOW, QUAD_HIGH)
+    return q.select("a", "b", "c", "d", "cx", "cy", "dx", "dy")
 
 
 def _quads_sql() -> str:
-    return f"""WITH s AS ({ad.STARS}), t AS (SELECT id, cos(dec) * cos(ra) AS x, cos(dec) * sin(ra) AS y, sin(dec) AS z FROM s WHERE id % 16 = 0 AND mag < 8.2),
+    """Pairs by cubes of the largest chord, members by cubes of the circle's reach."""
+    far, reach = 2 * math.sin(QUAD_HIGH / 2), 2 * math.sin(QUAD_HIGH / 4) + 1e-3
+    cube = lambda v, w: ", ".join(f"floor({x} / {w!r})::int AS {n}" for n, x in zip(("i", "j", "k"), v))
+    around = "SELECT unnest([-1, 0, 1]) AS u"
+    return f"""WITH {_TOP}, u AS (SELECT id, cos(dec) * cos(ra) AS x, cos(dec) * sin(ra) AS y, sin(dec) AS z FROM t), nine AS ({around}),
+s1 AS (SELECT *, {cube("xyz", far)} FROM u), s2 AS (SELECT s1.* REPLACE (i + a.u AS i, j + b.u AS j, k + c.u AS k) FROM s1, nine a, nine b, nine c),
 p AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.x + b.x AS mx, a.y + b.y AS my, a.z + b.z AS mz
-  FROM t a JOIN t b ON a.id < b.id WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 BETWEEN {4 * math.sin(QUAD_LOW / 2) ** 2!r} AND {4 * math.sin(QUAD_HIGH / 2) ** 2!r}),
+  FROM s2 a JOIN s1 b USING (i, j, k) WHERE a.id < b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 >= {4 * math.sin(QUAD_LOW / 2) ** 2!r} AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < {4 * math.sin(QUAD_HIGH / 2) ** 2!r}),
 q AS (SELECT *, mx / sqrt(mx * mx + my * my + mz * mz) AS c0, my / sqrt(mx * mx + my * my + mz * mz) AS c1, mz / sqrt(mx * mx + my * my + mz * mz) AS c2 FROM p),
 e AS (SELECT *, -c1 / sqrt(c0 * c0 + c1 * c1) AS e0, c0 / sqrt(c0 * c0 + c1 * c1) AS e1 FROM q),
 n AS (SELECT *, -c2 * e1 AS n0, c2 * e0 AS n1, c0 * e1 - c1 * e0 AS n2 FROM e),
 f AS (SELECT *, (e0 * ax + e1 * ay) / (c0 * ax + c1 * ay + c2 * az) AS px, (n0 * ax + n1 * ay + n2 * az) / (c0 * ax + c1 * ay + c2 * az) AS py,
-  (e0 * bx + e1 * by_) / (c0 * bx + c1 * by_ + c2 * bz) AS qx, (n0 * bx + n1 * by_ + n2 * bz) / (c0 * bx + c1 * by_ + c2 * bz) AS qy FROM n),
-g AS (SELECT f.*, t.id AS o, (e0 * t.x + e1 * t.y) / (c0 * t.x + c1 * t.y + c2 * t.z) AS ox, (n0 * t.x + n1 * t.y + n2 * t.z) / (c0 * t.x + c1 * t.y + c2 * t.z) AS oy
-  FROM f JOIN t ON t.id <> a AND t.id <> b WHERE c0 * t.x + c1 * t.y + c2 * t.z > 0),
+  (e0 * bx + e1 * by_) / (c0 * bx + c1 * by_ + c2 * bz) AS qx, (n0 * bx + n1 * by_ + n2 * bz) / (c0 * bx + c1 * by_ + c2 * bz) AS qy, {cube(("mx / 2", "my / 2", "mz / 2"), reach)} FROM n),
+o1 AS (SELECT *, {cube("xyz", reach)} FROM u), o2 AS (SELECT o1.* REPLACE (i + a.u AS i, j + b.u AS j, k + c.u AS k) FROM o1, nine a, nine b, nine c),
+g AS (SELECT f.*, o2.id AS o, (e0 * o2.x + e1 * o2.y) / (c0 * o2.x + c1 * o2.y + c2 * o2.z) AS ox, (n0 * o2.x + n1 * o2.y + n2 * o2.z) / (c0 * o2.x + c1 * o2.y + c2 * o2.z) AS oy
+  FROM f JOIN o2 USING (i, j, k) WHERE o2.id <> a AND o2.id <> b AND c0 * o2.x + c1 * o2.y + c2 * o2.z > 0),
 h AS (SELECT a, b, o, ((ox - px) * (qx - px) + (oy - py) * (qy - py)) / ((qx - px) ** 2 + (qy - py) ** 2) AS zr, ((oy - py) * (qx - px) - (ox - px) * (qy - py)) / ((qx - px) ** 2 + (qy - py) ** 2) AS zi FROM g),
 i AS (SELECT * FROM h WHERE zr * zr + zi * zi - zr <= 0),
 j AS (SELECT k.a, k.b, k.o AS c, l.o AS d, k.zr AS cr, k.zi AS ci, l.zr AS dr, l.zi AS di, k.zr + l.zr > 1 AS flip FROM i k JOIN i l ON k.a = l.a AND k.b = l.b AND k.o < l.o),
@@ -246,7 +240,7 @@ def brightness_rank(spark: SparkSession, d: str) -> DataFrame:
     return pyramid.brightness_rank(ad.stars(spark, d)).select("id", "rank")
 
 
-QUERIES = {f.__name__: f for f in (pyramid_level0, pyramid_levels_3, pyramid_adaptive, cell_counts_prefix, cone_search, cone_search_limit_levels, cones_of_nations, cell_centers, proper_motion_positions, tangent_projection, tangent_projection_whole, separation_pairs, quads_uncapped, quads_uncapped_whole, quads_capped, code_range_join, wide_quads, catalog_union, chunk_top, brightness_rank)}
+QUERIES = {f.__name__: f for f in (pyramid_level0, pyramid_levels_3, pyramid_adaptive, cell_counts_prefix, cone_search, cone_search_limit_levels, cones_of_nations, cell_centers, proper_motion_positions, tangent_projection, separation_pairs, quads_uncapped, quads_capped, code_range_join, wide_quads, catalog_union, chunk_top, brightness_rank)}
 
 _SEP = "2 * asin(least(1, sqrt(sin((d2 - dec) / 2) ** 2 + cos(dec) * cos(d2) * sin((r2 - ra) / 2) ** 2)))"
 _MOVED = "SELECT *, CASE WHEN pm_ra = 0 AND pm_dec = 0 THEN ra ELSE r - {0} * floor(r / {0}) END AS r2, CASE WHEN pm_ra = 0 AND pm_dec = 0 THEN dec ELSE dec + pm_dec * {1!r} * {2} END AS d2 FROM (SELECT *, ra + pm_ra * {1!r} * {2} / greatest(cos(dec), 1e-6) AS r FROM ({3}))"

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from skyquilt.functions import sphere
 from skyquilt.functions import text as tx
 from skyquilt.functions import wcs as wf
-from skyquilt.operators import fits, pyramid
+from skyquilt.functions.quadcode import bins_for
+from skyquilt.functions.text import round_half_up
+from skyquilt.operators import enrich, fits, pyramid
 from skyquilt.operators.grid import RingGrid
+from skyquilt.sources.catalogs import CHUNK_DIVISOR, brightest_of_chunks
 from tests.sky import synthetic
 
 
@@ -148,3 +151,27 @@ def test_wide_camera():
         f, r, m, error = fits.fit_camera(v @ q.T, d + [799.5, 599.5], (799.5, 599.5), 820.0)
         assert abs(f - 900) < 0.5 and m == mirrored and np.allclose(r, q, atol=1e-3) and error < 1e-3
         assert fits.fit_camera(v @ q.T, d + [799.5, 599.5], (799.5, 599.5), 400.0) is None
+
+
+def test_level_for_an_area():
+    cumulative = [100, 1_000, 10_000]
+    assert [pyramid.level_for(cumulative, 4 * math.pi * share, 50) for share in (1, 0.5, 0.4, 0.04, 0.001)] == [0, 0, 1, 2, 2]
+
+
+def test_ranks_of_unknown_magnitudes_come_last(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, 4.0), (4, None)], "id long, mag double")
+    assert {r.id: r.rank for r in pyramid.brightness_rank(df).collect()} == {3: 0, 1: 1, 2: 2, 4: 3}
+
+
+def test_bounded_chunks_and_rounding(spark):
+    rows = [(k * CHUNK_DIVISOR + i, float((i * 7) % 10)) for k in (0, 5) for i in range(10)]
+    got = brightest_of_chunks(spark.createDataFrame(rows, "source_id long, mag double"), 3).collect()
+    assert sorted((r.chunk, r.mag) for r in got) == [(0, 0.0), (0, 1.0), (0, 2.0), (5, 0.0), (5, 1.0), (5, 2.0)]
+    assert spark.range(1).select(round_half_up(F.lit(2.345), 100.0).alias("x")).first().x == 2.35
+    assert [bins_for(n) for n in (1, 1_000_000, 10**9)] == [16, 28, 64]
+
+
+def test_requests_are_clamped(spark):
+    df = spark.range(6000).select(F.col("id").alias("prominence"))
+    assert enrich.page(df, 9000).agg(F.max("prominence"), F.max("total")).first()[:] == (5000, 6000)
+    assert enrich.page(df, -3).agg(F.max("prominence")).first()[0] == 1

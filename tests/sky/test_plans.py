@@ -20,6 +20,16 @@ def test_range_joins_are_equi_joins(spark, name):
     assert "NestedLoop" not in p and "Cartesian" not in p
 
 
+def test_one_shuffle_a_tile_and_none_a_position(spark):
+    import re
+
+    count = lambda name: len(re.findall(r"Exchange hashpartitioning", plan(spark, name)))
+    assert count("constellation_first_match") == 0
+    assert plan(spark, "pyramid_levels_3").count("FileScan") == 0  # levels are read from their cuts
+    # the pixels' own aggregation and the tiles, for the tiles and for the floor of their image, and that join
+    assert count("tile_background") <= 5
+
+
 def test_top_k_is_pruned_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(spark, "pyramid_level0") and "WindowGroupLimit" in plan(spark, "top_stars")
 
