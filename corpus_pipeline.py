@@ -18,9 +18,9 @@ from skyquilt.llm.simhash import one_of_each
 from skyquilt.session import discard, stored, table
 
 
-#: Near copies: fingerprints of two-word shingles within 8 of 64 bits.  A changed word changes two
-#: such shingles, five of five words; README has the recall at a five-word similarity of 0.8.
-NEAR = {"shingle": 2, "distance": 8, "segments": 3}
+#: Near copies: fingerprints of two-word shingles within 8 of 64 bits (a changed word changes two such
+#: shingles, five of five words), and 4/5 of the five-word shingles of two texts in common, exactly.
+NEAR = {"shingle": 2, "distance": 8, "segments": 3, "share": (4, 5), "words": 5}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,13 @@ fingerprints; from ``TWO_SEGMENTS`` of them on, two segments with 2**28 anchors
 (344 copies each) keep anchors small instead.  Both find every link.
 Components of the forest are found by :mod:`skyquilt.llm.components`.
 
+:func:`one_of_each` may ask for a similarity as well.  Then only components of
+several texts are looked at again, one row a text: two texts are linked if
+their fingerprints are near and the exact Jaccard similarity of their sets of
+five-word shingles is high enough.  Texts are walked breadth first and give a
+forest too; a component of more than ``BLOCK`` texts is dealt into blocks, and
+every two of them meet in a task, so a task holds two blocks at most.
+
 Defined results: null and empty texts have fingerprint 0, linked like any
 other; rows with a null id link like others and get the component of their
 fingerprint, but give no component its name (null if no id is there); ids of
@@ -42,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyquilt.llm.components import components
+from skyquilt.llm.decontaminate import shingles
 from skyquilt.llm.words import Words, slices
 from skyquilt.llm.xx import xxh64
 from skyquilt.session import cut, table
@@ -53,6 +61,8 @@ TWO_SEGMENTS = 1 << 26
 PAIRS = 1 << 21
 #: Shingles hashed at once, and most residents of an anchor that meet in one task.
 RUN, RESIDENTS = 1 << 18, 1 << 14
+#: Most texts of a component, and bytes of them, that one block holds.
+BLOCK, BLOCK_BYTES = 512, 1 << 22
 
 
 #: The bits of a byte, the highest first, as the bytes of one number: up to 255 such numbers add up without a carry.
@@ -322,8 +332,93 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", di
     return _classes(rows, distance, segments, shingle).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", distance: int = DISTANCE, segments: int | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component, with all its columns: the one with the smallest id.
+def walk_texts(fp: np.ndarray, doc: np.ndarray, value: np.ndarray, distance: int, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among texts: fingerprints within ``distance``, and shingle sets
+    whose Jaccard similarity is the fraction ``share`` or more.
+
+    ``value``: the distinct shingle hashes of each text, in order of ``doc``.  Two texts without any are alike.
+    """
+    size = np.bincount(doc, minlength=len(fp))
+    first = np.cumsum(size) - size
+    names, code = np.unique(value, return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left = np.arange(len(fp))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            q = queue.pop()
+            near = np.bitwise_count(fp[left] ^ fp[q]) <= distance
+            if not near.any():
+                continue
+            who = left[near]
+            n = size[who]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[who], n)
+            mine = code[first[q] : first[q] + size[q]]
+            mark[mine] = True
+            both = np.bincount(np.repeat(np.arange(len(who)), n), mark[code[at]], len(who)).astype(np.int64)
+            mark[mine] = False
+            alike = (share[0] + share[1]) * both >= share[0] * (size[q] + n)
+            us.append(who[alike])
+            vs.append(np.full(int(alike.sum()), q))
+            queue += list(who[alike])
+            near[near] = alike
+            left = left[~near]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def alike(members: DataFrame, distance: int, share: tuple[int, int], words: int) -> DataFrame:
+    """``u, v``: a forest of the links among texts ``s`` of one component ``root``.
+
+    ``members``: ``root, s, fp, parts, text``; a text may come more than once.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            rows = pa.concat_tables(held).combine_chunks()
+            keys = np.stack([rows.column(c).to_numpy() for c in ("root", "i", "j")], axis=1)
+            begin = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            to = rows.num_rows if last else int(begin[-1])
+            held = [rows.slice(to)]
+            size = rows.slice(to).nbytes
+            for a, b in zip(begin, np.r_[begin[1:], rows.num_rows]):
+                if b > to:
+                    break
+                s, one = np.unique(rows.column("s").to_numpy()[a:b], return_index=True)
+                if len(s) < 2:
+                    continue
+                doc, value = shingles(rows.column("text").slice(a, b - a).take(one).combine_chunks(), words)
+                order = np.lexsort((value, doc))
+                doc, value = doc[order], value[order]
+                new = np.r_[True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])][: len(doc)]
+                fp = rows.column("fp").to_numpy()[a:b][one].view(np.uint64)
+                u, v = walk_texts(fp, doc[new], value[new], distance, share)
+                yield pa.RecordBatch.from_arrays([pa.array(s[u]), pa.array(s[v])], names=["u", "v"])
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.nbytes
+            if size >= 2 * BLOCK_BYTES:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    block = F.pmod(F.xxhash64("s", F.lit(1)), F.col("parts"))
+    pairs = members.withColumn("own", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 or own <> with")
+    pairs = pairs.select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "s", "fp", "text")
+    return pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(meet, "u long, v long")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", distance: int = DISTANCE, segments: int | None = None, shingle: int = SHINGLE, share: tuple[int, int] | None = None, words: int = 5) -> DataFrame:
+    """One row of each group, with all its columns: the one with the smallest id.
+
+    Groups are components of near fingerprints or, with ``share`` (a fraction), of texts that are near
+    and have at least that Jaccard similarity over shingles of ``words`` words, lower-cased in A-Z; of
+    fewer words the whole sequence is the shingle, and texts without words are alike.
 
     Rows with a null id come last; of rows with one id, the row of smallest hash over all columns
     stays, and of rows that are equal in all columns one.
@@ -331,15 +426,29 @@ def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", distan
     #: two hashes of all columns say which row it is; what else is in the row has no name of its own
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     keyed = docs.select(row.alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("k1"), F.xxhash64(F.lit(1), *(F.col(f"`{c}`") for c in docs.columns)).alias("k2"))
-    rows = keyed.select(F.col("row")[text].alias("text"), F.col("row")[doc].alias("doc_id"), "k1", "k2")
-    classes = _classes(rows, distance, segments, shingle).groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "n")).alias("f")).select("f.k1", "f.k2", "f.n")
-    first = cut(first)
-    kept = keyed.join(first.where("n = 1"), ["k1", "k2"], "left_semi").select("row")
-    again = first.where("n > 1")
-    if not again.isEmpty():
-        kept = kept.union(keyed.join(again, ["k1", "k2"], "left_semi").select("row").distinct())
-    return kept.select("row.*")
+    body = F.col("row")[text]
+    rows = keyed.select(body.alias("text"), F.col("row")[doc].alias("doc_id"), "k1", "k2", F.xxhash64(body).alias("s"), F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("bytes"))
+    classes = _classes(rows if share else rows.drop("s", "bytes"), distance, segments, shingle)
+
+    def chosen(which: DataFrame) -> DataFrame:
+        """The rows of ``k1, k2``, of which there are ``n``, each once."""
+        kept = keyed.join(which.where("n = 1"), ["k1", "k2"])
+        again = which.where("n > 1")
+        if not again.isEmpty():
+            kept = kept.union(keyed.join(again, ["k1", "k2"]).dropDuplicates(["k1", "k2"]))
+        return kept
+
+    if share:
+        texts = classes.groupBy("root", "s", "fp", "bytes", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+        texts = cut(texts.groupBy("root", "s", "fp", "bytes").agg(F.min(F.struct("k1", "k2", "n")).alias("f")))
+        parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1)))
+        several = texts.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), parts.alias("parts")).where("texts > 1").drop("texts")
+        members = chosen(cut(texts.join(several, "root").select("f.*", "root", "s", "fp", "parts")))
+        groups = components(alike(members.select("root", "s", "fp", "parts", body.alias("text")), distance, share, words))
+        classes = classes.drop("root").join(groups.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    counted = classes.groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "n")).alias("f")).select("f.k1", "f.k2", "f.n")
+    return chosen(cut(first)).select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

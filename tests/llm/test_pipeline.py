@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark):
             rows = [r for r in rows if test_quality.brute(r[1], QualityRules())["kept"]]
         elif name == "near_duplicates":
             near = corpus_pipeline.NEAR
-            root = test_simhash.brute_components([test_simhash.brute_fingerprint(t, near["shingle"]) for _, t, _ in rows], near["distance"])
+            root = test_simhash.brute_components([test_simhash.brute_fingerprint(t, near["shingle"]) for _, t, _ in rows], near["distance"], test_simhash.brute_sets([t for _, t, _ in rows]))
             least = {}
             for (i, *_), c in zip(rows, root):
                 least[c] = min(i, least.get(c, i))

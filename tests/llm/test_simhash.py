@@ -22,7 +22,12 @@ def brute_fingerprint(text, shingle=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(fp, distance=4):
+def brute_sets(texts, words=5):
+    split = [[w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    return [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set() for w in split]
+
+
+def brute_components(fp, distance=4, sets=None):
     root = list(range(len(fp)))
 
     def find(i):
@@ -33,7 +38,7 @@ def brute_components(fp, distance=4):
 
     for i in range(len(fp)):
         for j in range(i):
-            if (fp[i] ^ fp[j]).bit_count() <= distance:
+            if (fp[i] ^ fp[j]).bit_count() <= distance and (sets is None or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [find(i) for i in range(len(fp))]
@@ -186,3 +191,26 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1]) + " end"), (3, "short one")], "doc_id long, text string")
     got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
     assert got[1].fp & ((1 << 64) - 1) == brute_fingerprint(" ".join(words)) and got[2].component_id == 1 and got[3].component_id == 3
+
+
+def test_one_of_each_text_that_is_alike(spark, monkeypatch):
+    """Small blocks, so that components are dealt; near fingerprints alone do not make a group."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rng = random.Random(7)
+    texts = texts_of(rng)
+    family = " ".join(f"w{rng.randrange(900)}" for _ in range(120)).split()
+    for k in range(60):
+        w = list(family)
+        for _ in range(rng.choice([1, 2, 4, 9])):
+            w[rng.randrange(len(w))] = f"x{k}"
+        texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts + texts[::3])]
+    fps, sets = [brute_fingerprint(t, 2) for _, t in rows], brute_sets([t for _, t in rows])
+    near, alike = brute_components(fps, 12), brute_components(fps, 12, sets)
+    assert len(set(near)) < len(set(alike)) < len(rows)
+    least = {}
+    for (i, _), c in zip(rows, alike):
+        least[c] = min(i, least.get(c, i))
+    docs = spark.createDataFrame(rows + rows[:40:7], "doc_id long, text string").repartition(5)
+    got = simhash.one_of_each(docs, distance=12, segments=3, shingle=2, share=(4, 5)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(least.values())
