@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions.sphere import precess, precession_matrix, to_vector
 from skyquilt.functions.text import object_tier
+from skyquilt.operators.rangejoin import Axis, range_join
+from skyquilt.session import cut
 
 ARCMIN = math.pi / 180 / 60
 
@@ -83,21 +85,57 @@ def constellations(positions: DataFrame, rows: DataFrame, epoch: float = 2000.0)
     return at.withColumn("constellation", F.get(holds, 0)["name"]).drop("__h", "__d", "__rows")
 
 
+#: Fixed values of :func:`closest`: objects of the base within the first radius, on average, and how often that doubles at most.
+FIRST_OBJECTS, MOST_DOUBLINGS = 4, 10
+
+
+def closest(base: DataFrame, other: DataFrame, reach: float) -> DataFrame:
+    """``oid, id3``: the object of ``base`` closest to each of ``other`` in relation to its reach, at most ``reach`` away.
+
+    Rounds of growing radius, each a join on cells, keep the pairs in proportion to the rows however dense the
+    sky is: a row is done when nothing beyond the radius can come before its best, and only others go on.
+    """
+    own = lambda size: size * ARCMIN / 2 + reach / 4
+    at = lambda p, ra, dec: [c.alias(f"__{p}{k}") for k, c in zip("xyz", to_vector(F.col(ra), F.col(dec)))]
+    # of equal places of one size the smallest id counts
+    b = base.groupBy("ra", "dec", F.coalesce(F.col("major"), F.lit(1.0)).alias("__major")).agg(F.min("id").alias("id3"))
+    b = cut(b.select("id3", "__major", *at("b", "ra", "dec")))
+    rows = cut(other.select("oid", "size", *at("o", "ra", "dec")))
+    cell = b.groupBy(*(F.floor(F.col(f"__b{k}") / reach) for k in "xyz")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    near = cell.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    largest = own(max((v for t, c in ((b, "__major"), (rows, "size")) if (v := t.agg(F.max(c)).first()[0]) is not None), default=0.0))
+    doublings = 0
+    while near / 4**doublings > FIRST_OBJECTS and doublings < MOST_DOUBLINGS and math.isfinite(largest):
+        doublings += 1
+    done = None
+    for k in range(doublings, -1, -1):
+        radius = reach / 2**k
+        dist, mine = angular_distance(*(tuple(F.col(f"__{p}{c}") for c in "xyz") for p in "ob")), own(F.greatest("size", "__major"))
+        # a chord is shorter than its arc; cells of two radii, of which a row touches two on an axis
+        axes = [Axis(f"__b{c}", f"__o{c}", radius * (1 + 1e-6), 2 * radius) for c in "xyz"]
+        pairs = range_join(b, rows, axes, dist <= F.least(F.lit(radius), mine))
+        found = pairs.groupBy("oid").agg(F.min(F.struct((dist / mine).alias("score"), "id3")).alias("best"))
+        last = k == 0 or radius >= largest
+        if not last:
+            found = cut(found.where(F.col("best.score") < radius / largest))
+            rows = cut(rows.join(found, "oid", "left_anti"))
+        found = found.select("oid", "best.id3")
+        done = found if done is None else done.union(found)
+        if last:
+            return done
+
+
 def resolve(base: DataFrame, other: DataFrame, reach_arcmin: float) -> DataFrame:
     """Match each row of ``other`` (``oid, name, ra, dec, size``) with an object of ``base``
     (``id, designation, common_name, ra, dec, major``): by designation, else by common name, else the
     closest in relation to its reach; the smallest id wins ties.  Unmatched rows have a null ``id``.
     """
-    by_id = other.join(base.select(F.col("designation").alias("__d"), F.col("id").alias("id1")), F.upper("name") == F.upper("__d"), "left").groupBy("oid").agg(F.min("id1").alias("id1"))
-    by_name = other.join(base.where("common_name is not null").select(F.col("common_name").alias("__c"), F.col("id").alias("id2")), F.lower("name") == F.lower("__c"), "left").groupBy("oid").agg(F.min("id2").alias("id2"))
-    reach = reach_arcmin * ARCMIN
-    b = base.select(F.col("id").alias("id3"), F.col("ra").alias("bra"), F.col("dec").alias("bdec"), F.coalesce(F.col("major"), F.lit(1.0)).alias("bmajor"), F.floor(F.col("dec") / reach).alias("__band"))
-    o = other.withColumn("__band", F.explode(F.sequence(F.floor((F.col("dec") - reach) / reach), F.floor((F.col("dec") + reach) / reach))))
-    distance = angular_distance(to_vector(F.col("ra"), F.col("dec")), to_vector(F.col("bra"), F.col("bdec")))
-    own = F.greatest(F.col("size"), F.col("bmajor")) * ARCMIN / 2 + reach / 4
-    near = o.join(b, "__band").withColumns({"__dist": distance, "__own": own}).where((F.col("__dist") <= F.least(F.lit(reach), F.col("__own"))))
-    w = Window.partitionBy("oid").orderBy(F.col("__dist") / F.col("__own"), "id3")
-    best = near.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select("oid", "id3")
+    # one row a name of the base: names that many objects share meet each other row once
+    id_of = base.groupBy(F.upper("designation").alias("__d")).agg(F.min("id").alias("id1"))
+    name_of = base.where("common_name is not null").groupBy(F.lower("common_name").alias("__c")).agg(F.min("id").alias("id2"))
+    by_id = other.join(id_of, F.upper("name") == F.col("__d")).groupBy("oid").agg(F.min("id1").alias("id1"))
+    by_name = other.join(name_of, F.lower("name") == F.col("__c")).groupBy("oid").agg(F.min("id2").alias("id2"))
+    best = closest(base, other, reach_arcmin * ARCMIN)
     out = other.join(by_id, "oid", "left").join(by_name, "oid", "left").join(best, "oid", "left")
     return out.withColumns({"id": F.coalesce("id1", "id2", "id3"), "matched_by": F.when(F.col("id1").isNotNull(), "designation").when(F.col("id2").isNotNull(), "name").when(F.col("id3").isNotNull(), "position")}).drop("id1", "id2", "id3")
 

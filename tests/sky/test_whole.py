@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyquilt import catalog
 from skyquilt.operators import enrich
@@ -87,3 +88,30 @@ def test_every_quad_of_level_0(spark):
     got = sorted((tuple(sorted((r.a, r.b))), tuple(sorted((r.c, r.d)))) for r in run(spark, "quads_uncapped").collect())
     want = brute_quads(stars.id.tolist(), vectors(stars.ra.to_numpy(), stars.dec.to_numpy()), sky.QUAD_LOW, sky.QUAD_HIGH)
     assert got == want and any(k % 16 for ab, cd in got for k in ab + cd)
+
+
+@pytest.mark.parametrize("spread", [3.0, 0.06])
+def test_closest_in_a_dense_sky_against_brute_force(spark, monkeypatch, spread):
+    """The same as all pairs give, from a number of pairs in proportion to the rows; copies and poles among them."""
+    rng = np.random.default_rng(5)
+    reach, n, m = 60 * enrich.ARCMIN, 6000, 400
+    ra, dec = rng.uniform(0, 0.3, n) * spread, np.where(np.arange(n) % 4 == 0, np.pi / 2 - rng.uniform(0, 0.02, n), rng.uniform(-0.05, 0.05, n) * spread)
+    ra[::3], dec[::3] = ra[0], dec[0]
+    major = [None if i % 7 == 0 else float(2 * rng.integers(1, 51)) for i in range(n)]
+    ora, odec, size = rng.uniform(0, 0.3, m) * spread, np.where(np.arange(m) % 5 == 0, np.pi / 2 - rng.uniform(0, 0.02, m), rng.uniform(-0.05, 0.05, m) * spread), rng.integers(0, 90, m).astype(float)
+    base = spark.createDataFrame([(i, float(ra[i]), float(dec[i]), major[i]) for i in range(n)], "id long, ra double, dec double, major double")
+    other = spark.createDataFrame([(i, float(ora[i]), float(odec[i]), float(size[i])) for i in range(m)], "oid long, ra double, dec double, size double")
+    met, join = [], enrich.range_join
+
+    def counted(left, right, axes, residual, *more):
+        met.append(join(left, right, axes, F.lit(True), *more).count())
+        return join(left, right, axes, residual, *more)
+
+    monkeypatch.setattr(enrich, "range_join", counted)
+    got = {r.oid: r.id3 for r in enrich.closest(base, other, reach).collect()}
+    dist = 2 * np.arcsin(np.linalg.norm(vectors(ra, dec)[None] - vectors(ora, odec)[:, None], axis=2) / 2)
+    own = np.maximum(np.array([1.0 if x is None else x for x in major])[None], size[:, None]) * enrich.ARCMIN / 2 + reach / 4
+    score = np.where(dist <= np.minimum(reach, own), dist / own, np.inf)
+    want = {i: int(np.flatnonzero(score[i] <= score[i].min() * (1 + 1e-12))[0]) for i in range(m) if np.isfinite(score[i].min())}
+    assert got == want and len(want) > 100
+    assert sum(met) < m * n / 20 and enrich.closest(base.limit(0), other, reach).count() == 0
