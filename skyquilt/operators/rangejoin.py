@@ -62,18 +62,26 @@ def range_join(left: DataFrame, right: DataFrame, axes: Sequence[Axis], residual
     return l.join(r, cond, how).drop(*keys, *names.values())
 
 
+#: Fixed value: cells of :func:`nearest` in radii; the right rows go to (1 + 2 / WIDE) ** 2 cells on average.
+WIDE = 4
+
+
 def nearest(left: DataFrame, right: DataFrame, x: tuple[str, str], y: tuple[str, str], radius: float | str, key: str, tie: Sequence[str], on: Sequence[str] = (), how: str = "inner", width: float | None = None) -> DataFrame:
     """The nearest right row within ``radius`` (inclusive) of each left row, with ``d2``.
 
     ``key`` identifies left rows within ``on``; ``tie`` orders right rows at one distance.
-    ``radius`` may be a left column, given a bin ``width``.  ``how``: inner or left.
+    ``radius`` may be a left column, given a bin ``width``; it is 4 radii for a number.  ``how``: inner or left.
     """
     dx, dy = F.col(x[0]) - F.col(x[1]), F.col(y[0]) - F.col(y[1])
     d2 = dx * dx + dy * dy
     r = F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
-    # left rows look around; right rows stay in their cells
-    axes = [Axis(x[1], x[0], radius, width), Axis(y[1], y[0], radius, width)]
-    pairs = range_join(right, left, axes, d2 <= r * r, on)
+    if isinstance(radius, str):
+        # left rows look around; right rows stay in their cells
+        pairs = range_join(right, left, [Axis(x[1], x[0], radius, width), Axis(y[1], y[0], radius, width)], d2 <= r * r, on)
+    else:
+        # left rows, mostly the many, are sent once; right rows look around in cells so wide that they touch few
+        width = WIDE * radius if width is None else width
+        pairs = range_join(left, right, [Axis(x[0], x[1], radius, width), Axis(y[0], y[1], radius, width)], d2 <= r * r, on)
     pairs = pairs.select(*(c for c in left.columns), *(c for c in right.columns if c not in on), d2.alias("d2")) if on else pairs.withColumn("d2", d2)
     best = Window.partitionBy(*on, key).orderBy("d2", *tie)
     found = pairs.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").drop("__rn")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyquilt import catalog
-from skyquilt.operators import enrich
+from skyquilt.operators import enrich, rangejoin
 from skyquilt.plans import adapters as ad
 from skyquilt.plans import sky
 from skyquilt.session import table
@@ -115,3 +115,25 @@ def test_closest_in_a_dense_sky_against_brute_force(spark, monkeypatch, spread):
     want = {i: int(np.flatnonzero(score[i] <= score[i].min() * (1 + 1e-12))[0]) for i in range(m) if np.isfinite(score[i].min())}
     assert got == want and len(want) > 100
     assert sum(met) < m * n / 20 and enrich.closest(base.limit(0), other, reach).count() == 0
+
+
+def test_nearest_sends_the_many_once_against_brute_force(spark, monkeypatch):
+    """The nearest of few positions for many, at the radius exactly and below zero; the many are not multiplied before the join."""
+    rng = np.random.default_rng(8)
+    xy, pq, image = rng.integers(-200, 200, (3000, 2)) / 4.0, rng.integers(-200, 200, (200, 2)) / 4.0, rng.integers(0, 3, 3200)
+    left = spark.createDataFrame([(int(image[i]), i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "image_id long, star long, x double, y double")
+    right = spark.createDataFrame([(int(image[3000 + i]), i, float(p), float(q)) for i, (p, q) in enumerate(pq)], "image_id long, ref long, rx double, ry double")
+    sent, join = {}, rangejoin.range_join
+
+    def counted(l, r, axes, *more):
+        touched = 1
+        for t in rangejoin._cells(axes)[1]:
+            touched = touched * F.size(t)
+        sent.update({l.columns[1]: l.count(), r.columns[1]: r.agg(F.sum(touched)).first()[0]})
+        return join(l, r, axes, *more)
+
+    monkeypatch.setattr(rangejoin, "range_join", counted)
+    got = {r.star: (r.ref, r.d2) for r in rangejoin.nearest(left, right, ("x", "rx"), ("y", "ry"), 5.0, "star", ["ref"], ["image_id"]).collect()}
+    d2 = np.where(image[:3000, None] == image[None, 3000:], ((xy[:, None] - pq[None]) ** 2).sum(axis=2), np.inf)
+    assert got == {i: (int(d2[i].argmin()), float(d2[i].min())) for i in range(3000) if d2[i].min() <= 25} and any(v[1] == 25 for v in got.values())
+    assert sent["star"] == 3000 and sent["ref"] < 3 * 200
