@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyquilt import catalog
+from skyquilt.functions import wcs as wf
+from skyquilt.functions.sphere import rounded
 from skyquilt.operators import enrich, rangejoin
 from skyquilt.plans import adapters as ad
 from skyquilt.plans import sky
@@ -137,3 +139,20 @@ def test_nearest_sends_the_many_once_against_brute_force(spark, monkeypatch):
     d2 = np.where(image[:3000, None] == image[None, 3000:], ((xy[:, None] - pq[None]) ** 2).sum(axis=2), np.inf)
     assert got == {i: (int(d2[i].argmin()), float(d2[i].min())) for i in range(3000) if d2[i].min() <= 25} and any(v[1] == 25 for v in got.values())
     assert sent["star"] == 3000 and sent["ref"] < 3 * 200
+
+
+def test_outlines_by_plain_columns(spark):
+    """Once an image and by plain columns the same as pixel by pixel; no lambda is left, which Spark would interpret."""
+    assert "lambda" not in catalog.QUERIES["image_outline"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    w = wf.linear(F.lit(99.5), F.lit(49.5), F.col("id") * 37.0, F.col("id") * 20.0 - 90, (F.lit(-0.01), F.lit(0.002), F.lit(0.002), F.lit(0.01)))
+    plates = spark.range(10).select("id", w.alias("w"))
+    slow = plates.select("id", "w", F.posexplode(wf.outline(F.lit(200), F.lit(100))).alias("k", "p")).select("id", "k", wf.pixel_to_sky(F.col("w"), F.col("p.x"), F.col("p.y")).alias("s")).select("id", "k", "s.ra", "s.dec")
+    assert sorted(wf.with_outline(plates, "w", wf.outline_points(200, 100)).collect()) == sorted(slow.collect())
+
+
+def test_rounded_as_spark_rounds(spark):
+    rng = np.random.default_rng(2)
+    ties = [k / 1e6 + s * 5e-7 + e for k in (0, 1, 7, 123456, 359999999) for s in (-1, 1) for e in (0, 1e-12, -1e-12)]
+    values = [0.0, -0.0, 1e-9, -1e-9, 1e9 + 0.1, -1e300, float("inf"), float("-inf"), float("nan"), None, *ties, *(-t for t in ties), *rng.uniform(-360, 360, 20000).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(rounded(F.col("v"), 6).alias("a"), F.round("v", 6).alias("b"))
+    assert [repr(r.a) for r in df.collect()] == [repr(r.b) for r in df.collect()]
